@@ -45,3 +45,23 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/settled/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors' Python workers, once per context."""
+    import io
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, str(path.relative_to(root.parent)))
+    target = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark_code.zip"
+    target.write_bytes(packed.getvalue())
+    context.addPyFile(str(target))  # served by the driver, so the path need not be shared
+    context._tidemark_shipped = True
