@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.cooccurrence import cooccurrence
+from tidemark.llm.encoding import count_sentences, garbled, garbled_keys, learn_readings
 from tidemark.llm.packing import pack, token_counts
 from tidemark.llm.quantiles import add_up, encode, merge, percentiles, sketches
 from tidemark.llm.ranking import aggregate_ranks
@@ -90,6 +91,21 @@ def p8_unused(spark: SparkSession, folder: str) -> DataFrame:
     return each.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("free").alias("unused"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with text garbled by a wrong character encoding."""
+    return garbled_keys(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The garbled documents with their text restored as far as it can be."""
+    return garbled(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p10_readings(spark: SparkSession, folder: str) -> DataFrame:
+    """Which encodings were read as which, by the number of sentences that have a clean twin."""
+    return learn_readings(count_sentences(table(spark, folder, "documents"), "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -99,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ranking": p7_ranking,
     "p8_assignment": p8_assignment,
     "p8_unused": p8_unused,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
+    "p10_readings": p10_readings,
 }
 SQL: dict[str, str] = {
     "p1_found": _pair_sql("commits", "commit_id", "p.repo_id AS repo_id, path_a, path_b"),
