@@ -18,15 +18,19 @@ from pyspark.sql import functions as F
 from tidemark.session import settle
 
 WORDS, EDITS, SHINGLE = 15, 3, 3
+#: Words of its own that a passage must hold; a word is an item's own if at most this share of the items has it.
+RARE, OWN_SHARE = 2, 0.01
 KEPT = WORDS - SHINGLE + 1 - EDITS * SHINGLE
 #: Distinct shingles of the items up to which they are sent to every executor (16 MB); beyond, both sides are shuffled.
 SENT = 1_000_000
 _CUT = r"[^\p{L}\p{N}_]+"
+#: A word divided at the end of a line, with the marks that may open the next one.
+_DIVIDED = r"(\p{L})-[ \t]*\r?\n[ \t>*#/|]*(\p{L})"
 
 
 def worded(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, words): lower-case words of each text; case, punctuation and layout are gone."""
-    flat = F.trim(F.regexp_replace(F.lower(F.col(text)), _CUT, " "))
+    flat = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.col(text)), _DIVIDED, "$1$2"), _CUT, " "))
     return df.select(key, F.split(flat, " ").alias("words")).filter(F.col(key).isNotNull() & F.col("words").isNotNull())
 
 
@@ -37,40 +41,48 @@ def _shingled(rows: DataFrame, key: str) -> DataFrame:
     return enough.select(key, F.posexplode(hashes).alias("pos", "h"))
 
 
-def fewest_edits(item: list[str], words: list[str]) -> int:
-    """Fewest edits between any WORDS successive words of the item and any run of words, both ends equal.
+def window_edits(item: list[str], words: list[str]) -> np.ndarray:
+    """For each WORDS successive words of the item the fewest edits to any run of words, both ends equal.
 
-    All windows advance together over the run; a window's column is closed under skipped item words
-    by a running minimum.
+    All windows advance together over the words; a window's column is closed under skipped item
+    words by a running minimum. Windows that match nowhere have 10 * WORDS.
     """
+    big = 10 * WORDS
     if len(item) < WORDS or not words:
-        return WORDS
+        return np.full(max(0, len(item) - WORDS + 1), big)
     codes: dict[str, int] = {}
-    a = np.array([codes.setdefault(w, len(codes)) for w in item])
-    b = [codes.get(w, -1) for w in words]
-    windows = np.lib.stride_tricks.sliding_window_view(a, WORDS)
+    windows = np.lib.stride_tricks.sliding_window_view(np.array([codes.setdefault(w, len(codes)) for w in item]), WORDS)
     steps = np.arange(WORDS)
-    big = 10 * WORDS
     state = np.full(windows.shape, big)
-    best = WORDS
-    for code in b:
+    best = np.full(len(windows), big)
+    for code in (codes.get(w, -1) for w in words):
         same = windows == code
-        # a window may only open on its own first word
+        # the last word must be equal, not skipped
+        best = np.minimum(best, np.where(same[:, -1], state[:, -2], big))
         base = np.full(windows.shape, big)
-        base[:, 0] = np.where(same[:, 0], 0, big)
+        base[:, 0] = np.where(same[:, 0], 0, big)  # and a window opens only on its first word
         base[:, 1:] = state[:, :-1] + ~same[:, 1:]
         base = np.minimum(base, state + 1)
-        closed = np.minimum.accumulate(base - steps, axis=1) + steps
-        ends = np.where(same[:, -1], base[:, -1], big)
-        # the last word must be matched here, not skipped
-        ends = np.where(same[:, -1], np.minimum(ends, np.r_[state[:, -2]]), big)
-        best = min(best, int(ends.min()))
-        state = np.minimum(closed, big)
-        if best == 0:
-            break
+        state = np.minimum(np.minimum.accumulate(base - steps, axis=1) + steps, big)
     return best
 
 
+def passage(item: list[str], words: list[str], rare: set[str]) -> int | None:
+    """Edits of the best passage, or None if there is none.
+
+    A passage has at most EDITS edits and still holds RARE of its item's own words, those that few
+    items have: a frame that many items share, filled with other names, is no passage.
+    """
+    held = rare.intersection(words)
+    own = np.array([w in held for w in item])
+    edits = window_edits(item, words)
+    if not len(edits):
+        return None
+    names = np.convolve(own, np.ones(WORDS, int), "valid")
+    good = edits[(edits <= EDITS) & (names >= RARE)]
+    return int(good.min()) if len(good) else None
+
+
 def leaks(documents: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(doc_key, item_key, edits): documents that hold a passage of WORDS words of an item with at most EDITS edits.
 
@@ -102,13 +114,17 @@ def leaks(documents: DataFrame, doc_key: str, doc_text: str, items: DataFrame, i
     parts = spans.join(docs, doc_key).select(
         doc_key, item_key, F.expr(f"slice(words, greatest(1, lo + 1 - {WORDS + EDITS}), hi - lo + {SHINGLE + 2 * (WORDS + EDITS)})").alias("part")
     )
-    pairs = parts.join(wanted.withColumnRenamed("words", "item_words"), item_key)
+    used = wanted.select(item_key, F.explode(F.array_distinct("words")).alias("word"))
+    total = F.greatest(F.lit(3.0), F.lit(OWN_SHARE) * F.lit(wanted.count()))
+    few = used.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") <= total).select("word")
+    own = used.join(few, "word").groupBy(item_key).agg(F.collect_list("word").alias("own"))
+    pairs = parts.join(wanted.withColumnRenamed("words", "item_words").join(own, item_key), item_key)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            edits = [fewest_edits(list(i), list(p)) for i, p in zip(batch["item_words"], batch["part"])]
-            out = pd.DataFrame({doc_key: batch[doc_key], item_key: batch[item_key], "edits": np.array(edits, "int64")})
-            yield out[out["edits"] <= EDITS]
+            edits = [passage(list(i), list(p), set(o)) for i, p, o in zip(batch["item_words"], batch["part"], batch["own"])]
+            out = pd.DataFrame({doc_key: batch[doc_key], item_key: batch[item_key], "edits": pd.array(edits, dtype="Int64")})
+            yield out[out["edits"].notna()].astype({"edits": "int64"})
 
     schema = pairs.select(doc_key, item_key, F.lit(0).cast("long").alias("edits")).schema
     return pairs.mapInPandas(verify, schema).groupBy(doc_key, item_key).agg(F.min("edits").alias("edits"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.cooccurrence import cooccurrence
 from tidemark.llm.encoding import count_sentences, garbled, garbled_keys, learn_readings
+from tidemark.llm.leakage import leaks
 from tidemark.llm.packing import pack, token_counts
 from tidemark.llm.quantiles import add_up, encode, merge, percentiles, sketches
 from tidemark.llm.ranking import aggregate_ranks
@@ -91,6 +92,21 @@ def p8_unused(spark: SparkSession, folder: str) -> DataFrame:
     return each.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("free").alias("unused"))
 
 
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a passage of an evaluation item, and the fewest edits it was found with."""
+    return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of document and evaluation item of which the document holds a passage."""
+    return p9_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Per evaluation item the number of documents it leaked into."""
+    return p9_leaks(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("edits").alias("fewest_edits"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with text garbled by a wrong character encoding."""
     return garbled_keys(table(spark, folder, "documents"), "doc_id", "text")
@@ -115,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ranking": p7_ranking,
     "p8_assignment": p8_assignment,
     "p8_unused": p8_unused,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
+    "p9_items": p9_items,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
     "p10_readings": p10_readings,
