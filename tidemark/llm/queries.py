@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.cooccurrence import cooccurrence
 from tidemark.llm.encoding import count_sentences, garbled, garbled_keys, learn_readings
 from tidemark.llm.leakage import leaks
+from tidemark.llm.names import link_names, pairs_of
 from tidemark.llm.packing import pack, token_counts
 from tidemark.llm.quantiles import add_up, encode, merge, percentiles, sketches
 from tidemark.llm.ranking import aggregate_ranks
@@ -71,6 +72,23 @@ def p5_merged(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles(merge(sketches(quality, ["repo_id", "tick"], MEASURES), ["repo_id"]), ["repo_id"], PROBS)
 
 
+def p6_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of developers (dev_id) and bus_factor (bus_id) with the entity they stand for in their repository."""
+    devs = table(spark, folder, "developers").filter("dev_id <> 1").select(F.col("dev_id").alias("id"), F.col("repo_id").alias("scope"), F.col("dev_name").alias("name"), "email")
+    bus = table(spark, folder, "bus_factor")
+    records = devs.unionByName(bus.select(F.col("bus_id").alias("id"), F.col("repo_id").alias("scope"), F.col("primary_dev_name").alias("name"), F.lit(None).cast("string").alias("email")))
+    sure = bus.filter("primary_dev_id is not null and primary_dev_id <> 1").select(F.col("bus_id").alias("a"), F.col("primary_dev_id").alias("b"))
+    nicknames = table(spark, folder, "nicknames").select("nickname", "given_name")
+    linked = link_names(records, nicknames, sure)
+    return linked.select("id", F.col("scope").alias("repo_id"), "entity")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of records of a repository whose names mean the same person or organisation."""
+    linked = p6_entities(spark, folder).select("id", F.col("repo_id").alias("scope"), "entity")
+    return pairs_of(linked).select("id_a", "id_b")
+
+
 def p7_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """Functions ranked by four scores together, per repository and overall."""
     scores = ["cyclomatic_complexity", "cognitive_complexity", "volume", "effort"]
@@ -128,6 +146,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_tick_pairs": p1_tick_pairs,
     "p5_percentiles": p5_percentiles,
     "p5_merged": p5_merged,
+    "p6_found": p6_found,
+    "p6_entities": p6_entities,
     "p7_ranking": p7_ranking,
     "p8_assignment": p8_assignment,
     "p8_unused": p8_unused,
