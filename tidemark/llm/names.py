@@ -50,7 +50,7 @@ def readings(name: str) -> list[tuple[str, str, str]]:
     legal = [w for w in words if w.replace(".", "") in LEGAL and len(w.replace(".", "")) > 1]
     if legal or (len(words) > 2 and words[0] == "the" and words[-1] == "team"):
         core = [_plain(w) for w in words if w not in legal and w not in ("the", "team", ",")]
-        return [("org", "", "".join(core))]
+        return [("org", core[0], "".join(core[1:]))] if core else []
     if "," in words:
         at = words.index(",")
         last, first = "".join(map(_plain, words[:at])), [_plain(w) for w in words[at + 1 :] if _plain(w)]
@@ -95,7 +95,8 @@ def keys(name: str, formal: dict[str, list[str]]) -> list[tuple[str, str, str, b
     out: set[tuple[str, str, str, bool]] = set()
     for kind, given, last in readings(name):
         if kind == "org":
-            out.add(("J", last, "handle", False))
+            # a line of business is often cut short: Net., Softw.
+            out |= {("J", given + last[:n], "handle", False) for n in (3, 4, 5, len(last))}
             continue
         if kind == "handle":
             out |= {("J", last, "handle", False), ("I", last, "handle", False)}
@@ -201,29 +202,33 @@ def link_names(records: DataFrame, nicknames: DataFrame, sure: DataFrame | None
     known = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= ESTABLISHED).select("word")
     graded = graded.join(known.select(F.col("word").alias("p1"), F.lit(True).alias("kp")), F.col("differ.p") == F.col("p1"), "left")
     graded = graded.join(known.select(F.col("word").alias("q1"), F.lit(True).alias("kq")), F.col("differ.q") == F.col("q1"), "left")
-    graded = settle(graded.filter("kp is null or kq is null").select("scope", "nx", "ny", "weak", (F.col("wx") | (F.col("lx") != "full")).alias("vague_x")))
+    graded = settle(graded.filter("kp is null or kq is null").select("scope", "nx", "ny", "weak", initials.alias("initial"), (F.col("wx") | (F.col("lx") != "full")).alias("vague_x")))
     # a name stands for its smallest record; equal spellings in a scope are one entity
     heads = settle(rows.filter(F.trim("name") != "").groupBy("scope", "name").agg(F.min("id").alias("head")))
     members = rows.join(heads, ["scope", "name"], "left").select("id", "scope", "email", F.coalesce("head", "id").alias("head"))
     hx, hy = heads.select("scope", F.col("name").alias("nx"), F.col("head").alias("a")), heads.select("scope", F.col("name").alias("ny"), F.col("head").alias("b"))
-    linked = settle(graded.join(hx, ["scope", "nx"]).join(hy, ["scope", "ny"]).select("scope", "a", "b", "weak", "vague_x"))
+    linked = settle(graded.join(hx, ["scope", "nx"]).join(hy, ["scope", "ny"]).select("scope", "a", "b", "weak", "initial", "vague_x"))
     strong = linked.filter("not weak").select("a", "b")
     if sure is not None:
         ends = members.select(F.col("id"), "head")
         more = sure.join(ends.select(F.col("id").alias("a"), F.col("head").alias("ha")), "a").join(ends.select(F.col("id").alias("b"), F.col("head").alias("hb")), "b")
         strong = strong.unionByName(more.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
     nodes = members.select(F.col("head").alias("id")).distinct()
-    first = components(nodes, strong)
-    la, lb = first.select(F.col("id").alias("a"), F.col("label").alias("ca")), first.select(F.col("id").alias("b"), F.col("label").alias("cb"))
-    loose = linked.filter("weak and vague_x").join(la, "a").join(lb, "b").filter("ca <> cb").select("ca", "cb").distinct()
-    mail = members.filter("email is not null").join(first.withColumnRenamed("id", "head"), "head").select("label", F.lower("email").alias("email")).distinct()
-    shared = mail.withColumnRenamed("label", "ca").join(mail.withColumnRenamed("label", "cb"), "email").filter("ca <> cb").select("ca", "cb", F.lit(1).alias("mail")).distinct()
-    loose = loose.join(shared, ["ca", "cb"], "left")
-    targets = loose.groupBy("ca").agg(F.count("*").alias("n"), F.count("mail").alias("m"))
-    sound = loose.join(targets, "ca").filter("n = 1 or (m = 1 and mail = 1)").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    second = components(first.select(F.col("label").alias("id")).distinct(), sound)
-    whole = first.join(second.select(F.col("id").alias("label"), F.col("label").alias("entity")), "label")
-    return members.join(whole.select(F.col("id").alias("head"), "entity"), "head").select("id", "scope", "entity")
+    whole = components(nodes, strong)
+    # nicknames first: what they are joined to may be the one entity that an initial leads to
+    for initial in (False, True):
+        la, lb = whole.select(F.col("id").alias("a"), F.col("label").alias("ca")), whole.select(F.col("id").alias("b"), F.col("label").alias("cb"))
+        loose = linked.filter("weak and vague_x").filter(F.col("initial") == initial).join(la, "a").join(lb, "b").filter("ca <> cb").select("ca", "cb").distinct()
+        mail = members.filter("email is not null").join(whole.withColumnRenamed("id", "head"), "head").select("label", F.lower("email").alias("email"))
+        ends = mail.distinct().withColumnRenamed("label", "ca"), mail.distinct().select("email", F.col("label").alias("cb"))
+        # only for the linked, never all holders of one address with each other
+        shared = loose.join(ends[0], "ca").join(ends[1], ["cb", "email"]).select("ca", "cb", F.lit(1).alias("mail")).distinct()
+        graded_loose = loose.join(shared, ["ca", "cb"], "left")
+        targets = graded_loose.groupBy("ca").agg(F.count("*").alias("n"), F.count("mail").alias("m"))
+        sound = graded_loose.join(targets, "ca").filter("n = 1 or (m = 1 and mail = 1)").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = components(whole.select(F.col("label").alias("id")).distinct(), sound).select(F.col("id").alias("label"), F.col("label").alias("entity"))
+        whole = settle(whole.join(merged, "label").select("id", F.col("entity").alias("label")))
+    return members.join(whole.select(F.col("id").alias("head"), F.col("label").alias("entity")), "head").select("id", "scope", "entity")
 
 
 def pairs_of(linked: DataFrame) -> DataFrame:
