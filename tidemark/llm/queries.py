@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.cooccurrence import cooccurrence
 from tidemark.llm.encoding import count_sentences, garbled, garbled_keys, learn_readings
+from tidemark.llm.handwritten import not_handwritten
 from tidemark.llm.leakage import leaks
 from tidemark.llm.names import link_names, pairs_of
 from tidemark.llm.packing import pack, token_counts
@@ -58,6 +59,27 @@ _LONG = """p.repo_id AS repo_id, path_a, path_b, n_ab, ma.c AS n_a, mb.c AS n_b,
     round(n_ab::DOUBLE * n / (ma.c::DOUBLE * mb.c), 6) AS lift, round(log2(n_ab::DOUBLE * n / (ma.c::DOUBLE * mb.c)), 6) AS pmi"""
 
 
+def p2_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes whose file is not hand-written, and why."""
+    return not_handwritten(table(spark, folder, "file_changes"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes whose file is not hand-written."""
+    return p2_reasons(spark, folder).select("change_id")
+
+
+def p2_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Per repository, how its own path settings compare: changes they miss and changes they skip wrongly."""
+    changes = table(spark, folder, "file_changes").select("change_id", "repo_id", F.coalesce("to_path", "from_path").alias("path"))
+    settings = table(spark, folder, "repositories").select("repo_id", "skip_files", "name_filter")
+    skipped = F.coalesce(F.exists("skip_files", lambda p: F.col("path").startswith(p)), F.lit(False))
+    kept = F.coalesce(F.when(F.col("name_filter") != "", F.expr("path rlike name_filter")), F.lit(True))
+    judged = changes.join(settings, "repo_id", "left").join(p2_found(spark, folder).withColumn("bad", F.lit(True)), "change_id", "left")
+    judged = judged.withColumn("bad", F.coalesce("bad", F.lit(False))).withColumn("out", skipped | ~kept)
+    return judged.groupBy("repo_id").agg(F.count_if("bad and not out").alias("missed"), F.count_if("out and not bad").alias("overshot"), F.count_if("bad").alias("not_handwritten"), F.count("*").alias("changes"))
+
+
 def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of the four measures per repository, per tick and per language, with their error bound."""
     quality = table(spark, folder, "file_quality").select("repo_id", "tick", "prog_lang", *MEASURES)
@@ -144,6 +166,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
     "p1_tick_pairs": p1_tick_pairs,
+    "p2_found": p2_found,
+    "p2_reasons": p2_reasons,
+    "p2_settings": p2_settings,
     "p5_percentiles": p5_percentiles,
     "p5_merged": p5_merged,
     "p6_found": p6_found,
