@@ -15,6 +15,7 @@ from tidemark.llm.names import link_names, pairs_of
 from tidemark.llm.packing import pack, token_counts
 from tidemark.llm.quantiles import add_up, encode, merge, percentiles, sketches
 from tidemark.llm.ranking import aggregate_ranks
+from tidemark.llm.syntax import invalid_sources
 from tidemark.sources import table
 
 MEASURES = ["complexity", "cognitive", "halstead_volume", "halstead_effort"]
@@ -80,6 +81,23 @@ def p2_settings(spark: SparkSession, folder: str) -> DataFrame:
     return judged.groupBy("repo_id").agg(F.count_if("bad and not out").alias("missed"), F.count_if("out and not bad").alias("overshot"), F.count_if("bad").alias("not_handwritten"), F.count("*").alias("changes"))
 
 
+def p3_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every judged text of a change with its repair cost; 0 for valid source."""
+    return invalid_sources(table(spark, folder, "file_changes"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of changes that are not valid source of the language of their path."""
+    return p3_checked(spark, folder).filter("edits > 0").select("change_id", "side")
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate of invalid texts per repository and language, and of what is wrong with them."""
+    counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("truncated", "conflict", "mismatch", "broken")]
+    rates = p3_checked(spark, folder).groupBy("repo_id", "lang").agg(F.count("*").alias("texts"), F.count_if("edits > 0").alias("invalid"), *counts)
+    return rates.withColumn("rate", F.col("invalid") / F.col("texts"))
+
+
 def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of the four measures per repository, per tick and per language, with their error bound."""
     quality = table(spark, folder, "file_quality").select("repo_id", "tick", "prog_lang", *MEASURES)
@@ -169,6 +187,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_reasons": p2_reasons,
     "p2_settings": p2_settings,
+    "p3_found": p3_found,
+    "p3_checked": p3_checked,
+    "p3_rates": p3_rates,
     "p5_percentiles": p5_percentiles,
     "p5_merged": p5_merged,
     "p6_found": p6_found,
