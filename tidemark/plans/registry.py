@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import measurements
+from tidemark.plans import history, measurements, static
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-for module in (measurements,):
+for module in (history, static, measurements):
     QUERIES.update(module.QUERIES)
     SQL.update(module.SQL)
