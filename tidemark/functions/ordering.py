@@ -17,7 +17,6 @@ def log_code(value: Column) -> Column:
 
     Zero has code 32768. Two values share a code only within one step of each other.
     """
-    size = F.abs(value)
-    step = F.floor(STEPS * (F.log2(F.greatest(size, F.lit(2.0**-128))) + 128.0)).cast("int")
-    step = F.least(F.greatest(step, F.lit(0)), F.lit(ZERO - 2)) + 1
+    size = F.least(F.greatest(F.abs(value), F.lit(2.0**-128)), F.lit(2.0**128))
+    step = F.least(F.floor(STEPS * (F.log2(size) + 128.0)).cast("int"), F.lit(ZERO - 2)) + 1
     return F.when(value.isNull() | F.isnan(value), F.lit(None).cast("int")).when(value == 0, F.lit(ZERO)).when(value > 0, F.lit(ZERO) + step).otherwise(F.lit(ZERO) - step)
