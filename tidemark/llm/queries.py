@@ -78,7 +78,7 @@ def p2_settings(spark: SparkSession, folder: str) -> DataFrame:
     kept = F.coalesce(F.when(F.col("name_filter") != "", F.expr("path rlike name_filter")), F.lit(True))
     judged = changes.join(settings, "repo_id", "left").join(p2_found(spark, folder).withColumn("bad", F.lit(True)), "change_id", "left")
     judged = judged.withColumn("bad", F.coalesce("bad", F.lit(False))).withColumn("out", skipped | ~kept)
-    return judged.groupBy("repo_id").agg(F.count_if("bad and not out").alias("missed"), F.count_if("out and not bad").alias("overshot"), F.count_if("bad").alias("not_handwritten"), F.count("*").alias("changes"))
+    return judged.groupBy("repo_id").agg(F.count_if(F.expr("bad and not out")).alias("missed"), F.count_if(F.expr("out and not bad")).alias("overshot"), F.count_if("bad").alias("not_handwritten"), F.count("*").alias("changes"))
 
 
 def p3_checked(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,7 +94,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Rate of invalid texts per repository and language, and of what is wrong with them."""
     counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("truncated", "conflict", "mismatch", "broken")]
-    rates = p3_checked(spark, folder).groupBy("repo_id", "lang").agg(F.count("*").alias("texts"), F.count_if("edits > 0").alias("invalid"), *counts)
+    rates = p3_checked(spark, folder).groupBy("repo_id", "lang").agg(F.count("*").alias("texts"), F.count_if(F.col("edits") > 0).alias("invalid"), *counts)
     return rates.withColumn("rate", F.col("invalid") / F.col("texts"))
 
 

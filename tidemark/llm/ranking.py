@@ -72,7 +72,7 @@ def aggregate_ranks(df: DataFrame, key: str, scores: list[str], scopes: dict[str
     ranks = distributed_ranks(rows)
     known = rows.join(ranks, ["scope", "metric", "value"], "left").withColumn("r", F.col("rank") / F.col("n"))
     items = known.groupBy("scope", "item").agg(F.collect_list("r").alias("ranks"))
-    judged = items.select("scope", "item", F.size("ranks").alias("n_scores"), significance(F.col("ranks"), len(scores)).alias("p"), F.expr("aggregate(ranks, 0D, (a, x) -> a + x) / size(ranks)").alias("mean_rank"))
+    judged = items.select("scope", "item", F.size("ranks").alias("n_scores"), significance(F.col("ranks"), len(scores)).alias("p"), F.expr("try_divide(aggregate(ranks, 0D, (a, x) -> a + x), size(ranks))").alias("mean_rank"))
     # the order: p (not yet cut at 1), then mean rank; buckets of both, then exact inside each
     judged = judged.withColumn("bucket", F.struct(F.coalesce(log_code(F.col("p")), F.lit(1 << 20)).alias("p"), F.coalesce(F.floor(F.col("mean_rank") * 4096), F.lit(1 << 20)).alias("m")))
     judged = settle(judged)
