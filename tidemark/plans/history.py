@@ -157,7 +157,7 @@ PLANS = {
     + _z("v").replace("PARTITION BY repo_id ORDER BY", "PARTITION BY repo_id, dim ORDER BY")
     + " AS z FROM series WHERE v IS NOT NULL) SELECT repo_id, dim, tick, round(v, 6) AS value, round(z, 4) AS z FROM zs WHERE abs(round(z, 4)) > 2e0",
     # quality (AG-38 .. AG-40, PL-01, PL-02, SC-12)
-    "quality_ticks": f"WITH {QT} SELECT repo_id, tick, files, round(complexity_mean, 6) AS complexity_mean, round(complexity_median, 6) AS complexity_median, round(complexity_p95, 6) AS complexity_p95, complexity_max, round(comment_mean, 6) AS comment_mean, comment_min, round(doc_mean, 6) AS doc_mean, round(cohesion_mean, 6) AS cohesion_mean, cohesion_min, round(bugs, 6) AS bugs FROM qt",
+    "quality_ticks": f"WITH {QT} SELECT repo_id, tick, files, round(complexity_mean, 9) AS complexity_mean, round(complexity_median, 9) AS complexity_median, round(complexity_p95, 9) AS complexity_p95, complexity_max, round(comment_mean, 9) AS comment_mean, comment_min, round(doc_mean, 9) AS doc_mean, round(cohesion_mean, 9) AS cohesion_mean, cohesion_min, round(bugs, 9) AS bugs FROM qt",
     "quality_aggregate": f"WITH {QT} SELECT repo_id, count(*) AS ticks, cast(sum(files) AS bigint) AS files, round(avg(complexity_mean), 6) AS complexity_mean, round(avg(complexity_median), 6) AS complexity_median, max(complexity_max) AS complexity_max, round(avg(comment_mean), 6) AS comment_mean, min(comment_min) AS comment_min, min(cohesion_min) AS cohesion_min FROM qt GROUP BY repo_id",
     "cohesion_boxes": f"WITH {Q}, d AS (SELECT repo_id, replace(file_path, '/' || TAIL(file_path, '/'), '') AS dir, cohesion FROM q WHERE cohesion IS NOT NULL), b AS (SELECT repo_id, dir, count(*) AS n, min(cohesion) AS lo, PCT(cohesion, 25e-2) AS q1, PCT(cohesion, 5e-1) AS med, PCT(cohesion, 75e-2) AS q3, max(cohesion) AS hi FROM d GROUP BY repo_id, dir HAVING count(*) >= 3), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY med, dir) AS rk FROM b) SELECT repo_id, dir, n, lo, round(q1, 6) AS q1, round(med, 6) AS med, round(q3, 6) AS q3, hi FROM r WHERE rk <= 15",
     "cohesion_histogram": f"WITH {Q} SELECT repo_id, cast(least(floor(cohesion * 1e1), 9e0) AS bigint) AS bin, count(*) AS files FROM q WHERE cohesion IS NOT NULL GROUP BY repo_id, cast(least(floor(cohesion * 1e1), 9e0) AS bigint)",

@@ -45,7 +45,7 @@ PLANS = {
     # cohesion and documentation (ST-15 .. ST-17, ST-20, ST-21, PL-11)
     "cohesion_distribution": f"WITH {Q} SELECT repo_id, CASE WHEN cohesion >= 6e-1 THEN 'excellent' WHEN cohesion >= 4e-1 THEN 'good' WHEN cohesion >= 3e-1 THEN 'fair' ELSE 'poor' END AS level, count(*) AS files FROM q WHERE cohesion IS NOT NULL GROUP BY repo_id, CASE WHEN cohesion >= 6e-1 THEN 'excellent' WHEN cohesion >= 4e-1 THEN 'good' WHEN cohesion >= 3e-1 THEN 'fair' ELSE 'poor' END",
     "low_cohesion_files": f"WITH {Q} SELECT DISTINCT repo_id, commit_id, file_path, cohesion FROM q WHERE cohesion < 4e-1",
-    "documentation": f"WITH {Q} SELECT repo_id, CASE WHEN doc_coverage >= 6e-1 THEN 'well documented' WHEN doc_coverage >= 3e-1 THEN 'partly documented' ELSE 'undocumented' END AS status, count(*) AS files, round(avg(comment_score), 6) AS comment_score FROM q WHERE doc_coverage IS NOT NULL GROUP BY repo_id, CASE WHEN doc_coverage >= 6e-1 THEN 'well documented' WHEN doc_coverage >= 3e-1 THEN 'partly documented' ELSE 'undocumented' END",
+    "documentation": f"WITH {Q} SELECT repo_id, CASE WHEN doc_coverage >= 6e-1 THEN 'well documented' WHEN doc_coverage >= 3e-1 THEN 'partly documented' ELSE 'undocumented' END AS status, count(*) AS files, round(avg(comment_score), 9) AS comment_score FROM q WHERE doc_coverage IS NOT NULL GROUP BY repo_id, CASE WHEN doc_coverage >= 6e-1 THEN 'well documented' WHEN doc_coverage >= 3e-1 THEN 'partly documented' ELSE 'undocumented' END",
     # folder roll-ups and scores (ST-24 .. ST-26, ST-29, ST-30)
     "folder_rollup": f"WITH {F}, d AS (SELECT repo_id, split_part(file_path, '/', 1) AS folder, file_path, count(*) AS functions, avg(cyclomatic_complexity) AS mean FROM f GROUP BY repo_id, split_part(file_path, '/', 1), file_path) SELECT repo_id, folder, count(*) AS files, cast(sum(functions) AS bigint) AS functions, round(avg(mean), 6) AS mean_complexity FROM d GROUP BY repo_id, folder",
     "last_functions": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, file_path, function_name ORDER BY function_id DESC) AS rk FROM function_metrics) SELECT repo_id, file_path, function_name, max(function_id) AS function_id FROM r WHERE rk = 1 GROUP BY repo_id, file_path, function_name",
