@@ -141,7 +141,7 @@ def shared_subtrees(leaves: DataFrame, most: int = 64) -> DataFrame:
     """(repo_id, path) of the files below a directory whose Merkle hash SHARED_BY repositories have.
 
     leaves: (repo_id, path, hash), one row per file. Hashes go up one level at a time, from the
-    deepest directory: a directory's hash is that of its children's names and hashes in order. Only
+    deepest directory: a directory's hash is that of the set of its children's names and hashes. Only
     directories of two or more files count, so that a single shared file is left to its own hash.
     """
     nodes = settle(leaves.select("repo_id", "path", "hash", F.lit(1).cast("long").alias("files")))
@@ -151,9 +151,10 @@ def shared_subtrees(leaves: DataFrame, most: int = 64) -> DataFrame:
     level = nodes
     for d in range(deepest, 1, -1):
         here = level.filter(depth == d)
-        up = here.groupBy("repo_id", F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(
-            F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(F.concat_ws(":", F.element_at(F.split("path", "/"), -1), "hash")))), 256).alias("hash"), F.sum("files").alias("files")
-        )
+        child = F.concat_ws(":", F.element_at(F.split("path", "/"), -1), "hash")
+        # of the set of children, not their list: it is added up before the shuffle, however many there are
+        both = [F.hex(F.bit_xor(F.xxhash64(child, F.lit(salt)))) for salt in (1, 2)]
+        up = here.groupBy("repo_id", F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(F.concat_ws(".", *both, F.count("*")).alias("hash"), F.sum("files").alias("files"))
         up = settle(up.select("repo_id", F.col("dir").alias("path"), "hash", "files"))
         found.append(up.filter("files >= 2"))
         level = level.filter(depth < d).unionByName(up)

@@ -106,7 +106,8 @@ def leaks(documents: DataFrame, doc_key: str, doc_text: str, items: DataFrame, i
     prefix = windows.withColumn("rank", rank).filter(F.col("rank") <= WORDS - SHINGLE + 1 - KEPT + 1).select(item_key, "h").distinct()
     candidates = hits.join(prefix, "h").select(doc_key, item_key).distinct()
     # position: the kept shingles of a passage lie within EDITS of one diagonal
-    places = hits.join(shingles.withColumnRenamed("pos", "at"), "h").join(candidates, [doc_key, item_key], "left_semi")
+    # candidates first: a shingle of many documents and many items never meets itself on both sides
+    places = candidates.join(hits, doc_key).join(shingles.withColumnRenamed("pos", "at"), [item_key, "h"])
     band = F.floor((F.col("pos") - F.col("at")) / (2 * EDITS + 2))
     banded = places.select(doc_key, item_key, "pos", "at", F.explode(F.array(band, band + 1)).alias("band"))
     dense = banded.groupBy(doc_key, item_key, "band").agg(F.count_distinct("at").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).filter(F.col("n") >= KEPT)
