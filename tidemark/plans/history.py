@@ -185,6 +185,19 @@ PLANS = {
     # functions that change together (AG-46 .. AG-50, JN-08): a function changes when its file does
     "node_hotness": f"WITH {CF}, fn AS (SELECT DISTINCT repo_id, file_path FROM function_metrics), t AS (SELECT cf.repo_id, cf.path, count(DISTINCT commit_id) AS changes FROM cf JOIN fn ON fn.repo_id = cf.repo_id AND fn.file_path = cf.path GROUP BY cf.repo_id, cf.path) SELECT repo_id, path, changes, round(changes * 1e0 / max(changes) OVER (PARTITION BY repo_id), 6) AS score, CASE WHEN changes >= 20 THEN 'HIGH' WHEN changes >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM t",
     "node_coupling": f"WITH {P} SELECT pairs.repo_id, file1, file2, co_changes, round(co_changes * 1e0 / greatest(co_changes, s1.n, s2.n), 6) AS strength FROM pairs JOIN selfs s1 ON s1.repo_id = pairs.repo_id AND s1.path = file1 JOIN selfs s2 ON s2.repo_id = pairs.repo_id AND s2.path = file2 WHERE co_changes >= 3",
+    # summaries of external series, merged partial states, top lists (AG-37, SO-02, TK-09, TK-10)
+    "external_summaries": f"WITH {QT}, series AS (SELECT repo_id, tick, 'complexity_median' AS dim, complexity_median AS v FROM qt UNION ALL SELECT repo_id, tick, 'bugs', bugs FROM qt UNION ALL SELECT repo_id, tick, 'cohesion_min', cohesion_min FROM qt) SELECT repo_id, dim, count(v) AS ticks, round(avg(v), 9) AS mean, round(stddev_pop(v), 7) AS sd, round(min(v), 6) AS lo, round(max(v), 6) AS hi FROM series GROUP BY repo_id, dim",
+    "merged_states": f"WITH {C}, parts AS (SELECT repo_id, author_id, count(*) AS n FROM c WHERE idx % 2 = 0 GROUP BY repo_id, author_id UNION ALL SELECT repo_id, author_id, count(*) AS n FROM c WHERE idx % 2 = 1 GROUP BY repo_id, author_id) SELECT repo_id, author_id, cast(sum(n) AS bigint) AS commits FROM parts GROUP BY repo_id, author_id",
+    "top_files": f"WITH {FH}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY commits DESC, path) AS place FROM churned) SELECT repo_id, path, commits, cast(place AS bigint) AS place FROM r WHERE place <= 20",
+    "top_couplings": f"WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY co_changes DESC, file1, file2) AS place FROM coupled) SELECT repo_id, file1, file2, co_changes, cast(place AS bigint) AS place FROM r WHERE place <= 7",
+    # chained renames (JN-13): the first name of every renamed path
+    "rename_lineage": "WITH RECURSIVE hop AS (SELECT DISTINCT repo_id, from_path, to_path FROM file_changes WHERE from_path <> to_path), chain AS (SELECT repo_id, from_path AS first_path, to_path, 1 AS depth FROM hop UNION ALL SELECT chain.repo_id, first_path, hop.to_path, depth + 1 FROM chain JOIN hop ON hop.repo_id = chain.repo_id AND hop.from_path = chain.to_path WHERE depth < 20) SELECT repo_id, first_path, to_path AS last_path, cast(max(depth) AS bigint) AS renames FROM chain GROUP BY repo_id, first_path, to_path",
+    # surviving lines by the calendar year they were written in (PL-03, SC-20)
+    "survival_by_year": f"WITH {L}, o AS (SELECT repo_id, cast(floor(min(MICROS(committer_ts)) / 864e8) AS bigint) AS day0 FROM c GROUP BY repo_id), y AS (SELECT * FROM (VALUES (2019, 17897, 18262), (2020, 18262, 18628), (2021, 18628, 18993), (2022, 18993, 19358), (2023, 19358, 19723), (2024, 19723, 20089)) AS v(year, a, b)), last AS (SELECT repo_id, max(sample) AS s FROM dense GROUP BY repo_id), "
+    "e AS (SELECT d.repo_id, lines, day0 + band * 30 AS s0, day0 + band * 30 + 30 AS s1 FROM dense d JOIN last ON last.repo_id = d.repo_id AND s = sample JOIN o ON o.repo_id = d.repo_id WHERE lines > 0) SELECT repo_id, cast(year AS bigint) AS year, round(sum(lines * (least(s1, b) - greatest(s0, a)) / 3e1), 6) AS lines FROM e JOIN y ON s0 < b AND s1 > a GROUP BY repo_id, year",
+    # sentiment classes and change sizes for charts (PL-14, PL-10)
+    "sentiment_classes": f"WITH {S} SELECT repo_id, {_MOOD} AS mood, count(*) AS ticks FROM st GROUP BY repo_id, {_MOOD}",
+    "mailmap": f"WITH {_NAMES} SELECT name, count(*) AS ids, min(dev_id) AS first_id FROM names GROUP BY name",
 }
 
 QUERIES, SQL = register(PLANS)

@@ -65,6 +65,11 @@ PLANS = {
     "scalars": "SELECT change_id, cast(levenshtein(coalesce(from_path, ''), coalesce(to_path, '')) AS bigint) AS path_edits, TAIL(coalesce(to_path, from_path), '/') AS base, concat_ws('|', lower(change_kind), coalesce(prog_lang, 'none')) AS tag, least(greatest(coalesce(size_bytes, 0) / 4e3, 0e0), 1e0) AS filled, coalesce(size_bytes, 0) / nullif(length(after_text), 0) AS ratio FROM file_changes",
     "long_identifiers": "SELECT dev_id, lower(dev_name) || ' <' || lower(coalesce(email, '')) || '>' AS exact_key, coalesce(lower(email), lower(dev_name)) AS loose_key FROM developers",
     "people": "WITH k AS (SELECT repo_id, coalesce(lower(email), lower(dev_name)) AS person, dev_name, dev_id FROM developers WHERE repo_id IS NOT NULL) SELECT repo_id, person, min(dev_id) AS id, count(DISTINCT dev_name) AS names, min(dev_name) AS first_name FROM k GROUP BY repo_id, person",
+    # charts over functions (PL-09, PL-10)
+    "function_hierarchy": f"WITH {F}, n AS (SELECT repo_id, file_path, count(*) AS functions, max(cyclomatic_complexity) AS most FROM f GROUP BY repo_id, file_path), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY functions DESC, file_path) AS place FROM n) SELECT repo_id, file_path, functions, most FROM r WHERE place <= 30",
+    "scatter_classes": f"WITH {F} SELECT repo_id, CASE WHEN volume >= 1e3 THEN 'large' ELSE 'small' END AS size, CASE WHEN cyclomatic_complexity > 10 THEN 'complex' ELSE 'simple' END AS shape, count(*) AS functions FROM f WHERE volume IS NOT NULL AND cyclomatic_complexity IS NOT NULL GROUP BY repo_id, CASE WHEN volume >= 1e3 THEN 'large' ELSE 'small' END, CASE WHEN cyclomatic_complexity > 10 THEN 'complex' ELSE 'simple' END",
+    "top_efforts": f"WITH {F}, r AS (SELECT repo_id, function_id, row_number() OVER (PARTITION BY repo_id ORDER BY effort DESC NULLS LAST, function_id) AS place FROM f) SELECT repo_id, function_id, cast(place AS bigint) AS place FROM r WHERE place <= 12",
+    "complexity_ratio": f"WITH {F} SELECT repo_id, cast(sum(cyclomatic_complexity) AS bigint) AS total, round(sum(cyclomatic_complexity) * 1e0 / count(cyclomatic_complexity), 9) AS average, max(cyclomatic_complexity) AS most FROM f GROUP BY repo_id",
 }
 
 QUERIES, SQL = register(PLANS)
