@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ordering import log_code
 from tidemark.operators import identity, lines, trees
+from tidemark.operators import ticks as ticks_op
 from tidemark.operators.spikes import SpikeOptions, implausible, stuck_runs
 from tidemark.plans import analyzers, registry, treequery
 from tidemark.plans.declared import expand
@@ -170,6 +171,15 @@ def test_streamed_ticks_equal_batch(spark, tmp_path):
     assert out == [(1, 0, 0), (1, 1, 1), (1, 2, 1), (2, 0, 0), (2, 1, 0)]
 
 
+@pytest.mark.parametrize("block", [65_536, 2])
+def test_ticks_never_run_backwards(spark, block):
+    rows = [(1, i, i, h) for i, h in enumerate([5, 35, 25, 80, 10, 120])] + [(2, 9, 3, 7), (2, 10, 4, None)]
+    df = spark.createDataFrame(rows, "repo_id long, commit_id long, idx long, hours long")
+    out = ticks_op.ticks(df, F.col("hours") * 3_600_000_000, block=block).orderBy("repo_id", "idx").collect()
+    assert [r.monotone for r in out] == [0, 1, 1, 3, 3, 5, 0]
+    assert [r.raw for r in out] == [0, 1, 1, 3, 0, 5, 0]
+
+
 def test_git_source(spark, tmp_path):
     def run(*args):
         subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=A", "-c", "user.email=a@x", *args], check=True, capture_output=True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import lines, trees
+from tidemark.operators import ticks as tick_ops
 from tidemark.plans.treequery import run
 from tidemark.session import settle
 from tidemark.sources import table
@@ -20,6 +21,12 @@ def _nodes(spark: SparkSession, folder: str) -> DataFrame:
     return trees.parse_nodes(python, "change_id", "after_text")
 
 
+def ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """Ticks of every commit (AG-01, WN-01, WN-02, STR-8), each commit once."""
+    commits = table(spark, folder, "commits").groupBy("commit_id").agg(F.min_by(F.struct("repo_id", "idx", "committer_ts"), F.struct("received_ts", "idx")).alias("r"))
+    return tick_ops.ticks(commits.select("commit_id", "r.*"), F.unix_micros(F.col("committer_ts").cast("timestamp")))
+
+
 def hunks(spark: SparkSession, folder: str) -> DataFrame:
     """Line runs of every modified file (SRC-17, FLT-04, FLT-05)."""
     return lines.hunks(_changes(spark, folder))
@@ -107,5 +114,5 @@ def tree_query(spark: SparkSession, folder: str) -> DataFrame:
     return run(settle(_nodes(spark, folder)), "change_id", 'rfilter(.type == "Function" && .roles has "Declaration") |> reduce(count)')
 
 
-QUERIES = {f.__name__: f for f in (hunks, line_stats, typos, survival_ledger, survival_rollup, nodes, function_measures, tree_types, function_cohesion, comment_quality, shotness_touches, tree_diff, tree_query)}
+QUERIES = {f.__name__: f for f in (ticks, hunks, line_stats, typos, survival_ledger, survival_rollup, nodes, function_measures, tree_types, function_cohesion, comment_quality, shotness_touches, tree_diff, tree_query)}
 SQL: dict[str, str] = {}
