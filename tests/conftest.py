@@ -8,12 +8,13 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from tidemark.session import build_session, shared_folder
+    from tidemark.session import build_session, shared_folder, ship
 
     session = build_session(
         "local[4]", "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__ui__showConsoleProgress="false"
     )
     session.sparkContext.setLogLevel("ERROR")
     shared_folder(session)
+    ship(session)
     yield session
     session.stop()
