@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.ordering import log_code
 from tidemark.session import settle
 
+#: Parts that items with the same scores are numbered in.
+SHARDS = 64
+
 
 def distributed_ranks(values: DataFrame) -> DataFrame:
     """(scope, metric, value, rank, n) per distinct value of rows (scope, metric, value), best (largest) first.
@@ -56,7 +59,7 @@ def aggregate_ranks(df: DataFrame, key: str, scores: list[str], scopes: dict[str
     scopes maps a name to a column; each of its values is a ranking of its own, named 'name:value'.
     Larger scores rank first. rho is the smallest corrected beta probability over the item's sorted
     normalised ranks: small only if several scores agree that the item is near the top, whatever
-    their scales. Ties in rho go by mean rank, then key. Null and NaN scores do not count; items
+    their scales. Ties in rho go by mean rank, then a hash of the key, then key. Null and NaN scores do not count; items
     without any score come last with rho null. Repeated keys are taken once (largest row); items
     whose scope is null are left out of that scope. Scores' names may clash with nothing: they are
     taken by position.
@@ -75,11 +78,17 @@ def aggregate_ranks(df: DataFrame, key: str, scores: list[str], scopes: dict[str
     judged = items.select("scope", "item", F.size("ranks").alias("n_scores"), significance(F.col("ranks"), len(scores)).alias("p"), F.expr("try_divide(aggregate(ranks, 0D, (a, x) -> a + x), size(ranks))").alias("mean_rank"))
     # the order: p (not yet cut at 1), then mean rank; buckets of both, then exact inside each
     judged = judged.withColumn("bucket", F.struct(F.coalesce(log_code(F.col("p")), F.lit(1 << 20)).alias("p"), F.coalesce(F.floor(F.col("mean_rank") * 4096), F.lit(1 << 20)).alias("m")))
-    judged = settle(judged)
-    sizes = judged.groupBy("scope", "bucket").agg(F.count("*").alias("c"))
-    # p falls into at most 65,535 codes and the mean rank into 4,097: the offsets need no more rows than that
+    judged = settle(judged.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(SHARDS))))
+    # equal items are counted per shard first: a third of all rows with the same scores is numbered in many tasks
+    cells = judged.groupBy("scope", "bucket", "p", "mean_rank", "shard").agg(F.count("*").alias("c"))
+    sizes = cells.groupBy("scope", "bucket").agg(F.sum("c").alias("b"))
+    # p falls into at most 65,535 codes and the mean rank into 4,097: the buckets' offsets need no more rows than that
     before = Window.partitionBy("scope").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("scope", "bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("scope", "bucket").orderBy(F.asc_nulls_last("p"), F.asc_nulls_last("mean_rank"), "item")
-    placed = judged.withColumn("at", F.row_number().over(inside)).join(sizes, ["scope", "bucket"])
+    sizes = sizes.select("scope", "bucket", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("scope", "bucket").orderBy(F.asc_nulls_last("p"), F.asc_nulls_last("mean_rank"), "shard").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("earlier", F.coalesce(F.sum("c").over(within), F.lit(0))).join(sizes, ["scope", "bucket"])
+    cells = cells.select(F.col("scope").alias("s"), F.col("p").alias("q"), F.col("mean_rank").alias("r"), F.col("shard").alias("d"), (F.col("earlier") + F.col("before")).alias("offset"))
+    inside = Window.partitionBy("scope", "p", "mean_rank", "shard").orderBy("item")
+    same = (F.col("scope") == F.col("s")) & F.col("p").eqNullSafe(F.col("q")) & F.col("mean_rank").eqNullSafe(F.col("r")) & (F.col("shard") == F.col("d"))
+    placed = judged.withColumn("at", F.row_number().over(inside)).join(cells, same)
     return placed.select("scope", F.col("item").alias(key), "n_scores", F.least(F.col("p"), F.lit(1.0)).alias("rho"), "mean_rank", (F.col("at") + F.col("offset")).alias("position"))
