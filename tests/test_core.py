@@ -118,6 +118,20 @@ def test_trees(spark):
     nodes.unpersist()
 
 
+def test_saved_trees(spark):
+    tree = {"type": "File", "children": [{"type": "Function", "props": {"name": "f"}, "roles": ["Function"], "children": [{"type": "Identifier", "token": "x"}]}, {"type": "Call", "children": [{"type": "Identifier", "token": "y"}]}]}
+    df = spark.createDataFrame([(1, json.dumps(tree)), (2, "[]"), (3, "nothing"), (4, None)], "k long, t string")
+    nodes = trees.tree_json_nodes(df, "k", "t").cache()
+    assert [(r.type, r.pre, r.post) for r in nodes.orderBy("pre").collect()] == [("File", 0, 4), ("Function", 1, 1), ("Identifier", 2, 0), ("Call", 3, 3), ("Identifier", 4, 2)]
+    assert sorted(r.type for r in trees.ancestors(nodes, "k", 4).collect()) == ["Call", "File"]
+    assert {r.node_id: r.name for r in trees.names_of(nodes, "k").collect()} == {0: "f", 1: "f", 2: "x", 3: "y", 4: "y"}
+    ids = [r.stable_id for r in trees.stable_ids(nodes, "k").collect()]
+    assert len(set(ids)) == 5 and all(len(i) == 16 for i in ids)
+    r = trees.mapping_coverage(nodes, ["File", "Call"]).first()
+    assert (r.types, r.covered) == (4, 2)
+    nodes.unpersist()
+
+
 def test_halstead_and_cohesion(spark):
     h = trees.halstead(2, 3, 4, 6)
     assert round(h["volume"], 6) == 23.219281 and h["difficulty"] == 2 and round(h["bugs"], 8) == 0.00773976

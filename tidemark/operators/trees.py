@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ast
 import io
+import json
 import tokenize
 import warnings
 from collections.abc import Iterator
@@ -238,3 +239,75 @@ def schema_compliance(nodes: DataFrame, key: str, known_types: list[str]) -> Dat
     """(key, nodes, valid, share) of nodes whose type is one of the known types and whose range is in order."""
     ok = F.col("type").isin(known_types) & (F.col("start_line") <= F.col("end_line"))
     return nodes.groupBy(key).agg(F.count("*").alias("nodes"), F.count_if(ok).alias("valid")).withColumn("share", F.col("valid") / F.col("nodes"))
+
+
+def tree_json_nodes(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, nodes ..) of trees saved as JSON: objects with type, token, roles, props, pos and children.
+
+    Texts that are no JSON object have no nodes.
+    """
+
+    def flatten(text: str) -> list[tuple]:
+        try:
+            root = json.loads(text)
+        except ValueError:
+            return []
+        if not isinstance(root, dict):
+            return []
+        rows: list[list] = []
+        pre = post = 0
+        # an explicit stack: saved trees may be deeper than Python's own
+        stack: list[tuple] = [(root, None, 0, 0, False)]
+        while stack:
+            node, parent, idx, depth, done = stack.pop()
+            if done:
+                rows[node][5] = post
+                post += 1
+                continue
+            me = len(rows)
+            pos = node.get("pos") or {}
+            start = int(pos.get("start_line") or 0)
+            rows.append([me, parent, idx, depth, pre, 0, node.get("type") or "", node.get("token") or "", list(node.get("roles") or []), {str(k): str(v) for k, v in (node.get("props") or {}).items()}, start, int(pos.get("end_line") or start)])
+            pre += 1
+            stack.append((me, None, 0, 0, True))
+            stack += [(c, me, i, depth + 1, False) for i, c in reversed(list(enumerate(node.get("children") or []))) if isinstance(c, dict)]
+        return [tuple(r) for r in rows]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in NODE.split(", ")]
+        for batch in batches:
+            rows = [(k, *n) for k, t in zip(batch[key], batch[text]) for n in flatten(t or "")]
+            yield pd.DataFrame(rows, columns=[key, *names])
+
+    return files.select(key, text).mapInPandas(read, f"{key} {files.schema[key].dataType.simpleString()}, {NODE}")
+
+
+def ancestors(nodes: DataFrame, key: str, node_id: int) -> DataFrame:
+    """Nodes that hold a node, in every file that has one of that id."""
+    inner = nodes.filter(F.col("node_id") == node_id).select(key, F.col("pre").alias("p"), F.col("post").alias("q"))
+    return nodes.join(inner, key).filter("pre < p and post > q").drop("p", "q")
+
+
+def names_of(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, node_id, name): the property name, else the token, else that of the first child."""
+    own = F.coalesce(F.col("props")["name"], F.nullif("token", F.lit("")))
+    kids = nodes.filter("child_idx = 0 and parent_id is not null").select(key, F.col("parent_id").alias("node_id"), own.alias("below"))
+    return nodes.join(kids, [key, "node_id"], "left").select(key, "node_id", F.coalesce(own, F.col("below"), F.lit("")).alias("name"))
+
+
+def stable_ids(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, node_id, stable_id): 16 hex digits of a hash over type, token, roles, place and descendants.
+
+    Descendants are met as ranges and combined in order, so no level waits for the one below.
+    """
+    own = F.sha1(F.concat_ws("|", "type", "token", F.array_join("roles", ","), F.col("start_line").cast("string"), F.col("end_line").cast("string"), F.col("child_idx").cast("string")))
+    hashed = nodes.select(key, "node_id", "pre", "post", "depth", own.alias("h"))
+    low = hashed.select(key, F.col("pre").alias("dp"), F.col("post").alias("dq"), F.col("depth").alias("dd"), F.col("h").alias("dh"))
+    below = hashed.join(low, key).filter("dp >= pre and dq <= post").groupBy(key, "node_id").agg(F.sort_array(F.collect_list(F.struct("dp", (F.col("dd") - F.col("depth")).alias("rel"), "dh"))).alias("all"))
+    return below.select(key, "node_id", F.substring(F.sha1(F.concat_ws(";", F.transform("all", lambda x: F.concat_ws(":", x["rel"].cast("string"), x["dh"])))), 1, 16).alias("stable_id"))
+
+
+def mapping_coverage(nodes: DataFrame, mapped: list[str]) -> DataFrame:
+    """(types, covered, share): how many of the node types that occur are among the mapped ones."""
+    kinds = nodes.select("type").distinct()
+    return kinds.agg(F.count("*").alias("types"), F.count_if(F.col("type").isin(mapped)).alias("covered")).withColumn("share", F.try_divide("covered", "types"))
