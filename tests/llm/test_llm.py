@@ -129,6 +129,12 @@ def test_small_damage_is_found(lang, old, new):
     assert syntax.check(SOURCES[lang].replace(old, new, 1), lang)[0] > 0
 
 
+@pytest.mark.parametrize(("lang", "text"), [("c", "int a[] = {" + "{1, b, -3}, " * 3000 + "};\n"), ("java", "class K { String s = " + " + ".join(['"a"', "b.c(1)", "'x'"] * 1000) + "; }"), ("javascript", "x = [" + "a.b, {c: 1}, 'd', " * 3000 + "]\n"), ("go", "package a\n\nvar x = " + " + ".join(["a", "f(1)"] * 1500) + "\n")])
+def test_long_statements(lang, text):
+    assert syntax.check(text, lang)[0] == 0
+    assert syntax.check(text.replace("1", "1 1", 1), lang)[0] > 0
+
+
 def test_chart_costs():
     g = chart.Grammar("Ab -> a b | a Ab b", lambda t, c: t == c)
     assert [g.cost("Ab", s) for s in ("ab", "aabb", "aab", "ba", "", "abab")] == [0, 0, 1, 2, 2, 2]

@@ -88,7 +88,7 @@ def p3_checked(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of changes that are not valid source of the language of their path."""
-    return p3_checked(spark, folder).filter("edits > 0").select("change_id", "side")
+    return p3_checked(spark, folder).filter("edits > 0").select("change_id", "side").distinct()
 
 
 def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
