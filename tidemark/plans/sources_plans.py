@@ -95,6 +95,15 @@ def comment_quality(spark: SparkSession, folder: str) -> DataFrame:
     return trees.comment_placement(settle(_nodes(spark, folder)), "change_id")
 
 
+def function_documentation(spark: SparkSession, folder: str) -> DataFrame:
+    """Functions with whether a well placed comment names them as its target (ST-20, ST-21)."""
+    all_nodes = settle(_nodes(spark, folder))
+    good = trees.comment_placement(all_nodes, "change_id").filter("score >= 1").select("change_id", F.col("target").alias("token"), F.lit(True).alias("documented")).distinct()
+    fns = trees.functions_of(all_nodes, "change_id").select("change_id", "node_id", "token")
+    joined = fns.join(good, ["change_id", "token"], "left").withColumn("documented", F.coalesce("documented", F.lit(False)))
+    return joined.select("change_id", "node_id", F.col("token").alias("name"), "documented", F.when(F.col("documented"), "Well Documented").otherwise("Undocumented").alias("status"))
+
+
 def shotness_touches(spark: SparkSession, folder: str) -> DataFrame:
     """Functions whose lines a change meets (JN-09, 2.12)."""
     fns = trees.functions_of(_nodes(spark, folder), "change_id").select("change_id", F.concat_ws("_", "type", "token").alias("name"), (F.col("start_line") - 1).alias("start"), (F.col("end_line") - 1).alias("stop"))
@@ -114,5 +123,5 @@ def tree_query(spark: SparkSession, folder: str) -> DataFrame:
     return run(settle(_nodes(spark, folder)), "change_id", 'rfilter(.type == "Function" && .roles has "Declaration") |> reduce(count)')
 
 
-QUERIES = {f.__name__: f for f in (ticks, hunks, line_stats, typos, survival_ledger, survival_rollup, nodes, function_measures, tree_types, function_cohesion, comment_quality, shotness_touches, tree_diff, tree_query)}
+QUERIES = {f.__name__: f for f in (ticks, hunks, line_stats, typos, survival_ledger, survival_rollup, nodes, function_measures, tree_types, function_cohesion, comment_quality, function_documentation, shotness_touches, tree_diff, tree_query)}
 SQL: dict[str, str] = {}

@@ -17,7 +17,11 @@ def health(average: str) -> str:
     return f"CASE WHEN {average} <= 1e0 THEN 1e2 WHEN {average} <= 3e0 THEN 8e1 + (3e0 - {average}) * 1e1 WHEN {average} <= 7e0 THEN 5e1 + (7e0 - {average}) * 75e-1 ELSE greatest(0e0, 5e1 - ({average} - 7e0) * 5e0) END"
 
 
-_IMPORT_RISK = "CASE WHEN length(imp) - length(replace(imp, '/', '')) >= 5 THEN 'LOW' WHEN imp LIKE '%../../../%' THEN 'MEDIUM' ELSE 'NONE' END"
+_LEVEL = "CASE WHEN volume >= 5e3 THEN 'Very High' WHEN volume >= 1e3 THEN 'High' WHEN volume >= 1e2 THEN 'Medium' ELSE 'Low' END"
+_VOLUME_HEALTH = "CASE WHEN v < 1e2 THEN 1e2 WHEN v < 1e3 THEN 7e1 + (1e3 - v) / 9e2 * 3e1 WHEN v < 5e3 THEN 3e1 + (5e3 - v) / 4e3 * 4e1 ELSE greatest(0e0, 3e1 - (v - 5e3) / 1e3 * 1e1) END"
+_COHESION = "CASE WHEN cohesion >= 6e-1 THEN 'Excellent' WHEN cohesion >= 4e-1 THEN 'Good' WHEN cohesion >= 3e-1 THEN 'Fair' ELSE 'Poor' END"
+_DOCUMENTED = "CASE WHEN doc_coverage <= 0e0 THEN 'Undocumented' WHEN doc_coverage >= 6e-1 THEN 'Well Documented' WHEN doc_coverage >= 3e-1 THEN 'Partially Documented' ELSE 'Poorly Documented' END"
+_IMPORT_RISK = "CASE WHEN length(imp) - length(replace(imp, '/', '')) >= 5 THEN 'LOW' WHEN (length(imp) - length(replace(imp, '..', ''))) / 2 >= 3 THEN 'MEDIUM' ELSE '' END"
 #: Imported paths, one per file and import: quoted words on lines that import.
 I = """ln0 AS (SELECT change_id, repo_id, prog_lang, EXPLODE(string_split(after_text, chr(10))) AS line FROM file_changes WHERE after_text IS NOT NULL),
 ln AS (SELECT change_id, repo_id, prog_lang, trim(replace(line, chr(13), '')) AS line FROM ln0),
@@ -29,7 +33,9 @@ im0 AS (SELECT change_id, repo_id, prog_lang, CASE
  WHEN prog_lang = 'javascript' AND line LIKE '%require("%")%' THEN split_part(split_part(line, 'require("', 2), '"', 1)
  WHEN prog_lang = 'go' AND line LIKE '"%"' THEN replace(line, '"', '') END AS imp FROM ln),
 im AS (SELECT DISTINCT change_id, repo_id, prog_lang, imp FROM im0 WHERE imp IS NOT NULL AND imp <> '')"""
-_CATEGORY = "CASE WHEN imp LIKE './%' OR imp LIKE '../%' THEN 'relative' WHEN split_part(replace(imp, '.', '/'), '/', 1) IN ('os', 'sys', 'json', 're', 'fmt', 'strings', 'time', 'java', 'stdio', 'stdlib', 'string', 'math', 'io', 'fs', 'path') THEN 'stdlib' ELSE 'external' END"
+#: First segments of standard imports; fixed values.
+_STANDARD = "fmt os io net http encoding sync context time strings bytes bufio path filepath regexp sort math sys typing collections itertools functools json re fs util events stream crypto https".split()
+_CATEGORY = "CASE WHEN imp LIKE '.%' OR imp LIKE '/%' THEN 'relative' WHEN split_part(imp, '/', 1) IN (" + ", ".join(f"'{w}'" for w in _STANDARD) + ") THEN 'stdlib' ELSE 'external' END"
 
 PLANS = {
     # complexity (ST-06 .. ST-09, ST-27, PL-10, TK-05, TK-08)
@@ -39,17 +45,18 @@ PLANS = {
     "complexity_aggregate": f"WITH {F}, a AS (SELECT repo_id, count(*) AS functions, avg(cyclomatic_complexity) AS mean, max(cyclomatic_complexity) AS most, avg(cognitive_complexity) AS cognitive, max(nesting_depth) AS deepest FROM f GROUP BY repo_id) SELECT repo_id, functions, round(mean, 6) AS mean, most, round(cognitive, 6) AS cognitive, deepest, round({health('mean')}, 6) AS health FROM a",
     "top_issues": f"WITH {F}, r AS (SELECT repo_id, function_id, cyclomatic_complexity, row_number() OVER (PARTITION BY repo_id ORDER BY cyclomatic_complexity DESC NULLS LAST, cognitive_complexity DESC NULLS LAST, nesting_depth DESC NULLS LAST, function_id) AS place FROM f) SELECT repo_id, function_id, cyclomatic_complexity, cast(place AS bigint) AS place FROM r WHERE place <= 10",
     # size and effort (ST-11 .. ST-13, SC-14, TK-06)
-    "function_halstead": f"WITH {F} SELECT function_id, volume, difficulty, effort, CASE WHEN volume < 1e2 THEN 'low' WHEN volume < 1e3 THEN 'moderate' WHEN volume < 5e3 THEN 'high' ELSE 'very high' END AS level, round(effort / 18e0, 4) AS seconds, round(volume / 3e3, 8) AS bugs FROM f WHERE volume IS NOT NULL",
+    "function_halstead": f"WITH {F} SELECT function_id, volume, difficulty, effort, {_LEVEL} AS level, round(effort / 18e0, 4) AS seconds, round(volume / 3e3, 8) AS bugs FROM f WHERE volume IS NOT NULL",
     "high_effort_functions": f"WITH {F} SELECT function_id, effort, CASE WHEN volume >= 5e3 THEN 'HIGH' ELSE 'MEDIUM' END AS risk FROM f WHERE volume >= 1e3",
-    "halstead_aggregate": f"WITH {F} SELECT repo_id, count(*) AS functions, round(avg(difficulty), 4) AS difficulty, COUNTIF(volume >= 5e3) AS very_high FROM f GROUP BY repo_id",
+    "halstead_aggregate": f"WITH {F}, a AS (SELECT repo_id, count(*) AS functions, sum(volume) / count(*) AS v, avg(difficulty) AS difficulty, COUNTIF(volume >= 5e3) AS very_high FROM f GROUP BY repo_id) SELECT repo_id, functions, round(v, 4) AS mean_volume, round(difficulty, 4) AS difficulty, very_high, round({_VOLUME_HEALTH}, 6) AS health FROM a",
+    "halstead_distribution": f"WITH {F} SELECT repo_id, {_LEVEL} AS level, count(*) AS functions FROM f WHERE volume IS NOT NULL GROUP BY repo_id, {_LEVEL}",
     # cohesion and documentation (ST-15 .. ST-17, ST-20, ST-21, PL-11)
-    "cohesion_distribution": f"WITH {Q} SELECT repo_id, CASE WHEN cohesion >= 6e-1 THEN 'excellent' WHEN cohesion >= 4e-1 THEN 'good' WHEN cohesion >= 3e-1 THEN 'fair' ELSE 'poor' END AS level, count(*) AS files FROM q WHERE cohesion IS NOT NULL GROUP BY repo_id, CASE WHEN cohesion >= 6e-1 THEN 'excellent' WHEN cohesion >= 4e-1 THEN 'good' WHEN cohesion >= 3e-1 THEN 'fair' ELSE 'poor' END",
-    "low_cohesion_files": f"WITH {Q} SELECT DISTINCT repo_id, commit_id, file_path, cohesion FROM q WHERE cohesion < 4e-1",
-    "documentation": f"WITH {Q} SELECT repo_id, CASE WHEN doc_coverage >= 6e-1 THEN 'well documented' WHEN doc_coverage >= 3e-1 THEN 'partly documented' ELSE 'undocumented' END AS status, count(*) AS files, round(avg(comment_score), 9) AS comment_score FROM q WHERE doc_coverage IS NOT NULL GROUP BY repo_id, CASE WHEN doc_coverage >= 6e-1 THEN 'well documented' WHEN doc_coverage >= 3e-1 THEN 'partly documented' ELSE 'undocumented' END",
+    "cohesion_distribution": f"WITH {Q} SELECT repo_id, {_COHESION} AS level, count(*) AS files FROM q WHERE cohesion IS NOT NULL GROUP BY repo_id, {_COHESION}",
+    "low_cohesion_files": f"WITH {Q} SELECT DISTINCT repo_id, commit_id, file_path, cohesion, CASE WHEN cohesion < 3e-1 THEN 'HIGH' ELSE 'MEDIUM' END AS risk FROM q WHERE cohesion < 4e-1",
+    "documentation": f"WITH {Q} SELECT repo_id, {_DOCUMENTED} AS status, count(*) AS files, round(avg(comment_score), 9) AS comment_score FROM q WHERE doc_coverage IS NOT NULL GROUP BY repo_id, {_DOCUMENTED}",
     # folder roll-ups and scores (ST-24 .. ST-26, ST-29, ST-30)
     "folder_rollup": f"WITH {F}, d AS (SELECT repo_id, split_part(file_path, '/', 1) AS folder, file_path, count(*) AS functions, avg(cyclomatic_complexity) AS mean FROM f GROUP BY repo_id, split_part(file_path, '/', 1), file_path) SELECT repo_id, folder, count(*) AS files, cast(sum(functions) AS bigint) AS functions, round(avg(mean), 6) AS mean_complexity FROM d GROUP BY repo_id, folder",
     "last_functions": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, file_path, function_name ORDER BY function_id DESC) AS rk FROM function_metrics) SELECT repo_id, file_path, function_name, max(function_id) AS function_id FROM r WHERE rk = 1 GROUP BY repo_id, file_path, function_name",
-    "executive_summary": f"WITH {F}, {Q}, a AS (SELECT repo_id, avg(cyclomatic_complexity) AS m, avg(difficulty) AS d FROM f GROUP BY repo_id), b AS (SELECT repo_id, avg(cohesion) AS coh, avg(comment_score) AS com FROM q GROUP BY repo_id), s AS (SELECT a.repo_id, CASE WHEN m <= 1e0 THEN 1e0 WHEN m <= 3e0 THEN 9e-1 WHEN m <= 5e0 THEN 7e-1 WHEN m <= 7e0 THEN 5e-1 WHEN m <= 1e1 THEN 3e-1 ELSE 1e-1 END AS s1, CASE WHEN d <= 5e0 THEN 1e0 WHEN d <= 15e0 THEN 7e-1 WHEN d <= 3e1 THEN 4e-1 ELSE 2e-1 END AS s2, coh, com FROM a LEFT JOIN b ON b.repo_id = a.repo_id) SELECT repo_id, s1 AS complexity_score, s2 AS effort_score, round(coh, 6) AS cohesion_score, round(com, 6) AS comment_score, round((s1 + s2 + coalesce(coh, 0e0) + coalesce(com, 0e0)) / (2 + CASE WHEN coh IS NULL THEN 0 ELSE 1 END + CASE WHEN com IS NULL THEN 0 ELSE 1 END), 6) AS overall FROM s",
+    "executive_summary": f"WITH {F}, {Q}, a AS (SELECT repo_id, avg(cyclomatic_complexity) AS m, avg(difficulty) AS d FROM f GROUP BY repo_id), b AS (SELECT repo_id, avg(cohesion) AS coh, avg(comment_score) AS com FROM q GROUP BY repo_id), s AS (SELECT a.repo_id, CASE WHEN m <= 1e0 THEN 1e0 WHEN m <= 3e0 THEN 8e-1 WHEN m <= 5e0 THEN 6e-1 WHEN m <= 7e0 THEN 4e-1 WHEN m <= 1e1 THEN 2e-1 ELSE 1e-1 END AS s1, CASE WHEN d <= 5e0 THEN 1e0 WHEN d <= 15e0 THEN 8e-1 WHEN d <= 3e1 THEN 6e-1 ELSE 3e-1 END AS s2, coh, com FROM a LEFT JOIN b ON b.repo_id = a.repo_id) SELECT repo_id, s1 AS complexity_score, s2 AS effort_score, round(coh, 6) AS cohesion_score, round(com, 6) AS comment_score, round((s1 + s2 + coalesce(coh, 0e0) + coalesce(com, 0e0)) / (2 + CASE WHEN coh IS NULL THEN 0 ELSE 1 END + CASE WHEN com IS NULL THEN 0 ELSE 1 END), 6) AS overall FROM s",
     # imports (ST-22, ST-23, ST-28, SC-08, SC-09, AG-54, PL-08)
     "import_list": f"WITH {I} SELECT change_id, imp, {_CATEGORY} AS category, {_IMPORT_RISK} AS risk FROM im",
     "import_categories": f"WITH {I} SELECT repo_id, {_CATEGORY} AS category, count(*) AS imports, count(DISTINCT imp) AS distinct_imports FROM im GROUP BY repo_id, {_CATEGORY}",
