@@ -123,6 +123,19 @@ def p6_entities(spark: SparkSession, folder: str) -> DataFrame:
     return linked.select("id", F.col("scope").alias("repo_id"), "entity")
 
 
+def p6_contributors(spark: SparkSession, folder: str) -> DataFrame:
+    """Per repository the spellings in developers and in tick_metrics.names, and the contributors they stand for."""
+    devs = table(spark, folder, "developers").filter("dev_id <> 1").select(F.col("dev_id").alias("id"), F.col("repo_id").alias("scope"), F.col("dev_name").alias("name"), "email")
+    seen = table(spark, folder, "tick_metrics").select("repo_id", F.inline(F.arrays_zip(F.col("names").alias("name"), F.col("author_ids").alias("author_id")))).filter("name is not null").distinct()
+    # ids below zero for spellings of ticks, from what they are
+    seen = seen.withColumn("id", -1 - F.pmod(F.xxhash64("repo_id", "name"), F.lit(1 << 62)))
+    spelled = seen.select("id", F.col("repo_id").alias("scope"), "name", F.lit(None).cast("string").alias("email")).distinct()
+    sure = seen.filter("author_id is not null and author_id not in (1, 262142)").select(F.col("id").alias("a"), F.col("author_id").alias("b"))
+    nicknames = table(spark, folder, "nicknames").select("nickname", "given_name")
+    linked = link_names(devs.unionByName(spelled), nicknames, sure)
+    return linked.groupBy(F.col("scope").alias("repo_id")).agg(F.count("*").alias("spellings"), F.count_distinct("entity").alias("contributors"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of records of a repository whose names mean the same person or organisation."""
     linked = p6_entities(spark, folder).select("id", F.col("repo_id").alias("scope"), "entity")
@@ -194,6 +207,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_merged": p5_merged,
     "p6_found": p6_found,
     "p6_entities": p6_entities,
+    "p6_contributors": p6_contributors,
     "p7_ranking": p7_ranking,
     "p8_assignment": p8_assignment,
     "p8_unused": p8_unused,
