@@ -78,8 +78,7 @@ hist AS (SELECT act.* FROM act JOIN born ON born.repo_id = act.repo_id AND born.
 #: Revisions of each path in the commits, with the change sizes of the commits spread over their files.
 FH = (
     CF
-    + """, spread AS (SELECT cf.repo_id, cf.path, cf.author_id, cf.commit_id, cf.idx, c.lines_added // 1 AS a0, coalesce(c.lines_added, 0) AS added, coalesce(c.lines_removed, 0) AS removed FROM cf JOIN c ON c.commit_id = cf.commit_id)""".replace("c.lines_added // 1 AS a0, ", "")
-    + """, churned AS (SELECT repo_id, path, count(*) AS commits, count(DISTINCT author_id) AS contributors, cast(sum(added) AS bigint) AS added, cast(sum(removed) AS bigint) AS removed FROM spread GROUP BY repo_id, path)"""
+    + """, spread AS (SELECT cf.repo_id, cf.path, cf.author_id, cf.commit_id, cf.idx, coalesce(c.lines_added, 0) AS added, coalesce(c.lines_removed, 0) AS removed FROM cf JOIN c ON c.commit_id = cf.commit_id), churned AS (SELECT repo_id, path, count(*) AS commits, count(DISTINCT author_id) AS contributors, cast(sum(added) AS bigint) AS added, cast(sum(removed) AS bigint) AS removed FROM spread GROUP BY repo_id, path)"""
 )
 _HOT = "CASE WHEN commits >= 50 THEN 'CRITICAL' WHEN commits >= 30 THEN 'HIGH' WHEN commits >= 15 THEN 'MEDIUM' END"
 #: Line survival: a ledger of lines by the tick they were written in, from the net changes of each path.
