@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import lines, trees
 from tidemark.operators import ticks as tick_ops
 from tidemark.plans.treequery import run
-from tidemark.session import settle
+from tidemark.session import settle, shared_folder
 from tidemark.sources import table
+from tidemark.streaming import ticks as streams
 
 
 def _changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,5 +126,41 @@ def tree_query(spark: SparkSession, folder: str) -> DataFrame:
     return run(settle(_nodes(spark, folder)), "change_id", 'rfilter(.type == "Function" && .roles has "Declaration") |> reduce(count)')
 
 
-QUERIES = {f.__name__: f for f in (ticks, hunks, line_stats, typos, survival_ledger, survival_rollup, nodes, function_measures, tree_types, function_cohesion, comment_quality, function_documentation, shotness_touches, tree_diff, tree_query)}
-SQL: dict[str, str] = {}
+def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream of its files, be it one file or a folder of them."""
+    whole = table(spark, folder, name)
+    single = all(f.endswith(f"/{name}.parquet") for f in whole.inputFiles())
+    reader = spark.readStream.schema(whole.schema)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if single else reader.parquet(f"{folder}/{name}.parquet")
+
+
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
+    """All that a stream has now, through its checkpointed state, as a table."""
+    spark = stream.sparkSession
+    home = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    if mode == "append":
+        streams.to_ndjson(stream, f"{home}/out", f"{home}/state").awaitTermination()
+        return spark.read.schema(stream.schema).json(f"{home}/out")
+    out = f"{home}/out"
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/state").trigger(availableNow=True)
+    query.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+def stream_ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """Ticks of the commits as they arrive, late ones moved forward (STR-7, STR-8, STR-9, STR-10)."""
+    commits = _stream(spark, folder, "commits").filter("committer_ts is not null")
+    timed = commits.select("repo_id", "idx", F.unix_seconds(F.col("committer_ts").cast("timestamp")).alias("seconds"))
+    return _drained(streams.monotone_ticks(timed, "repo_id", "idx", "seconds"), "append")
+
+
+def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Events per hour and type, kept up to date by a stream."""
+    counts = streams.windowed_counts(_stream(spark, folder, "events"), "ts", "event_type")
+    return _drained(counts.select(F.unix_seconds("start").alias("start_s"), "event_type", "n"), "complete")
+
+
+QUERIES = {f.__name__: f for f in (ticks, hunks, line_stats, typos, survival_ledger, survival_rollup, nodes, function_measures, tree_types, function_cohesion, comment_quality, function_documentation, shotness_touches, tree_diff, tree_query, stream_ticks, stream_windows)}
+SQL: dict[str, str] = {
+    "stream_windows": "SELECT cast(floor(epoch_us(ts) / 36e8) AS bigint) * 3600 AS start_s, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+}
