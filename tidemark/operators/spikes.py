@@ -37,14 +37,15 @@ class SpikeOptions:
 
 
 def stuck_runs(readings: DataFrame, options: SpikeOptions = SpikeOptions()) -> DataFrame:
-    """readings (source, metric, tick, value) with `stuck`: part of `run` or more recorded ticks of one non-zero value.
+    """readings (source, metric, tick, value, ..) with `stuck`: part of `run` or more recorded ticks of one non-zero value.
 
-    A null reading ends a run. Runs are numbered per block and carried over block ends by a summary
+    Further columns are kept. A null reading ends a run. Runs are numbered per block and carried over block ends by a summary
     of one row per block, so a run of any length is found whole.
     """
     key = ["source", "metric"]
     block = F.floor(F.col("tick") / options.block).alias("block")
-    rows = readings.select("source", "metric", "tick", "value", block)
+    rows = readings.select("*", block)
+    rest = [c for c in readings.columns if c not in key]
     inside = Window.partitionBy(*key, "block").orderBy("tick")
     ends = rows.groupBy(*key, "block").agg(F.max_by(F.struct("value"), "tick").alias("last"))
     before = ends.select(*key, "block", F.lag("last").over(Window.partitionBy(*key).orderBy("block")).alias("carried"))
@@ -57,9 +58,7 @@ def stuck_runs(readings: DataFrame, options: SpikeOptions = SpikeOptions()) -> D
     offsets = opened.select(*key, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
     numbered = marked.join(offsets, [*key, "block"], "left").withColumn("run", F.col("at") + F.col("offset"))
     long_runs = numbered.filter("value is not null and value <> 0").groupBy(*key, "run").count().filter(F.col("count") >= options.run)
-    return numbered.join(long_runs.select(*key, "run", F.lit(True).alias("hit")), [*key, "run"], "left").select(
-        *key, "tick", "value", F.coalesce("hit", F.lit(False)).alias("stuck")
-    )
+    return numbered.join(long_runs.select(*key, "run", F.lit(True).alias("hit")), [*key, "run"], "left").select(*key, *rest, F.coalesce("hit", F.lit(False)).alias("stuck"))
 
 
 def residuals(readings: DataFrame, options: SpikeOptions = SpikeOptions()) -> DataFrame:
@@ -122,10 +121,10 @@ def implausible(readings: DataFrame, options: SpikeOptions = SpikeOptions()) ->
     Impossible and stuck readings do not count as anyone's neighbours. Nulls are never cases; an
     empty input gives no rows; one reading per source, metric and tick is expected.
     """
-    flagged = stuck_runs(readings, options).drop("value").join(readings, ["source", "metric", "tick"], "left")
-    # settled: the scores and the tail law both start from it
+    flagged = stuck_runs(readings, options)
+    # settled, like the scores: both are read more than once
     flagged = settle(flagged.select("source", "metric", "tick", "value", "signed", "impossible", "stuck"))
-    scored = residuals(flagged.filter("not stuck and not impossible"), options)
+    scored = settle(residuals(flagged.filter("not stuck and not impossible"), options))
     cut = scored.join(tail_cutoffs(scored, options), ["source", "metric"], "left")
     spike = (F.col("score") > F.col("cutoff")) & (F.col("score") >= options.times)
     cut = cut.select("source", "metric", "tick", "score", F.coalesce(spike, F.lit(False)).alias("spike"))
