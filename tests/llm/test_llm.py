@@ -356,6 +356,18 @@ def test_garbled_text_is_found_and_restored(spark):
     assert encoding.garbled(df.limit(0), "id", "text").count() == 0
 
 
+def test_garbled_character_references(spark):
+    clean = ["Die Änderung räumt den Zähler auf und kürzt ihn.", "Größere Läufe dauern länger, später fällt der Zähler zurück."]
+    refs = lambda s, form="&#%d;": "".join(c if c.isascii() else form % ord(c) for c in s)
+    bad = [s.encode().decode("latin-1") for s in clean]
+    rows = [(i, clean[i % 2]) for i in range(90)] + [(100, "a &lt; b.\n" + refs(bad[0])), (101, "für uns.\n" + refs(bad[1], "&#x%X;")), (102, refs(clean[0])), (103, "`" + refs(bad[0]) + "` &amp; plain &nope;"), (104, "lost &#65533; mark")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: r for r in encoding.garbled(df, "id", "text").collect()}
+    assert set(got) == {100, 101, 104} and not got[104].complete
+    assert got[100].restored == "a &lt; b.\n" + clean[0] and got[101].restored == "für uns.\n" + clean[1]
+    assert {r.id for r in encoding.garbled_keys(df, "id", "text").collect()} == set(got)
+
+
 # -- all -------------------------------------------------------------------
 def test_registered_queries_run(spark):
     from tidemark.llm import queries
