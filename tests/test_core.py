@@ -254,3 +254,24 @@ def test_survival_conserves_lines(spark):
     dense = registry.QUERIES["survival_dense"](spark, DATA)
     files_ = registry.QUERIES["survival_rollup"](spark, DATA)
     assert dense.count() > 0 and files_.count() > 0
+
+
+def test_ledger_counts_changed_lines(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda d: dt.datetime(2027, 11, 20) + dt.timedelta(days=d)
+    commits = [(1, 1, 0, 0, 7, at(0), at(0)), (2, 1, 1, 40, 8, at(40), at(40)), (2, 1, 1, 40, 8, at(40), at(41)), (3, 1, 2, 130, 9, at(130), at(130))]
+    spark.createDataFrame(commits, "commit_id long, repo_id long, idx long, tick long, author_id long, committer_ts timestamp, received_ts timestamp").write.parquet(f"{tmp_path}/commits.parquet")
+    ten, less, b = ("".join(f"{x}{i}\n" for i in n) for x, n in (("a", range(10)), ("a", range(8)), ("b", range(4))))
+    changes = [(1, 1, 1, "insert", None, "f", None, ten), (2, 1, 1, "insert", None, "g", None, b), (3, 1, 2, "modify", "f", "f", ten, less + "new\n"), (4, 1, 2, "modify", "h", "h", b, "x\n" + b), (5, 1, 3, "modify", "h", "h", "x\n" + b, "x\n")]
+    spark.createDataFrame(changes, "change_id long, repo_id long, commit_id long, change_kind string, from_path string, to_path string, before_text string, after_text string").write.parquet(f"{tmp_path}/file_changes.parquet")
+    run = lambda name, *cols: {tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).select(*cols).collect()}
+    assert run("ledger_dense", "sample", "band", "lines") == {(s, 0, 14 if s < 1 else 12) for s in range(5)} | {(s, 1, 2) for s in range(1, 5)}
+    assert run("ledger_global", "sample", "total", "rate") == {(0, 14, 0.875)} | {(s, 14, 0.875) for s in range(1, 5)}
+    assert run("ledger_files", "path", "top_owner", "lines", "pct") == {("f", 7, 8, 88.888889), ("g", 7, 4, 100.0), ("h", 8, 1, 100.0)}
+    assert run("ledger_developers", "author_id", "current_lines", "peak", "rate") == {(7, 12, 14, 0.857143), (8, 2, 2, 1.0)}
+    assert run("ledger_interaction", "orig_author", "modifier", "lines") == {(7, "self", 14), (7, "8", -2), (8, "self", 2)}
+    assert run("ledger_age", "age", "lines") == {("3-6", 14)}
+    assert run("ledger_by_year", "year", "lines") == {(2027, 12.0 + 2 * 12 / 30), (2028, 2 * 18 / 30)}
+    assert run("file_line_churn", "path", "commits", "contributors", "added", "removed", "changed", "score") == {("f", 2, 2, 10, 1, 1, 2.12), ("g", 1, 1, 4, 0, 0, 1.04), ("h", 2, 2, 1, 4, 0, 2.05)}
+    assert run("file_line_contributors", "path", "top_contributor", "added", "changed") == {("f", 7, 10, 0), ("g", 7, 4, 0), ("h", 8, 1, 0)}

@@ -118,26 +118,37 @@ def replay(segments: list[list[int]], edits: list[tuple[str, int]], tick: int, a
     return ledger
 
 
+#: Tick and author of lines written before the history begins.
+UNSEEN = (-1, -1)
+
+
 def line_ledger(edits: DataFrame) -> DataFrame:
     """(lineage, cur_tick, author_id, orig_tick, orig_author, delta): who wrote and who removed which lines, and when.
 
     edits: (lineage, idx, tick, author_id, kind, runs array<struct<op, n>>), one row per change of a
-    file over its renames. An insert starts anew, a delete removes every line left. A lineage is
-    replayed in order by one task, with its segments as the only state; sums over the ledger need no
-    further order.
+    file over its renames. An insert starts anew, a delete removes every line left. Lines that stood
+    before a lineage's first change keep their places but are never counted, as nobody is known to
+    have written them. A lineage is replayed in order by one task, with its segments as the only
+    state; sums over the ledger need no further order.
     """
-    order = ["lineage", "idx"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        segments: list[list[int]] = []
-        rows = []
-        for r in pdf.sort_values(order).itertuples(index=False):
-            runs = [(x["op"], int(x["n"])) for x in r.runs] if r.runs is not None else []
-            if r.kind == "insert":
-                segments.clear()
-            elif r.kind == "delete":
-                runs = [("delete", sum(s[0] for s in segments))]
-            rows += [(r.lineage, *x) for x in replay(segments, runs, int(r.tick), int(r.author_id))]
-        return pd.DataFrame(rows, columns=["lineage", "cur_tick", "author_id", "orig_tick", "orig_author", "delta"])
-
-    return edits.groupBy("lineage").applyInPandas(run, "lineage string, cur_tick long, author_id long, orig_tick long, orig_author long, delta long")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lineage, segments = None, []
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                if r.lineage != lineage:
+                    lineage, segments = r.lineage, []
+                runs = [(x["op"], int(x["n"])) for x in r.runs] if r.runs is not None else []
+                if r.kind == "insert":
+                    segments.clear()
+                elif r.kind == "delete":
+                    runs = [("delete", sum(s[0] for s in segments))]
+                elif not segments and (before := sum(n for op, n in runs if op != "insert")):
+                    segments.append([before, *UNSEEN])
+                rows += [(r.lineage, *x) for x in replay(segments, runs, int(r.tick), int(r.author_id)) if x[2:4] != UNSEEN]
+            yield pd.DataFrame(rows, columns=["lineage", "cur_tick", "author_id", "orig_tick", "orig_author", "delta"])
+
+    # a lineage is in one partition, its changes in order, and its segments go on from batch to batch
+    ordered = edits.select("lineage", "idx", "tick", "author_id", "kind", "runs").repartition("lineage").sortWithinPartitions("lineage", "idx")
+    return ordered.mapInPandas(run, "lineage string, cur_tick long, author_id long, orig_tick long, orig_author long, delta long")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import history, measurements, sources_plans, static
+from tidemark.plans import history, measurements, sources_plans, static, survival
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-for module in (history, static, sources_plans, measurements):
+for module in (history, static, sources_plans, survival, measurements):
     QUERIES.update(module.QUERIES)
     SQL.update(module.SQL)

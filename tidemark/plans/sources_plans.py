@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import lines, trees
@@ -30,6 +30,12 @@ def ticks(spark: SparkSession, folder: str) -> DataFrame:
     return tick_ops.ticks(commits.select("commit_id", "r.*"), F.unix_micros(F.col("committer_ts").cast("timestamp")))
 
 
+def _lines(text: str) -> Column:
+    """Lines of a text column; none where it is null."""
+    c = F.col(text)
+    return F.coalesce(F.when(c == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit("\n"))) + F.when(c.endswith("\n"), 0).otherwise(1)), F.lit(0)).cast("long")
+
+
 def hunks(spark: SparkSession, folder: str) -> DataFrame:
     """Line runs of every modified file (SRC-17, FLT-04, FLT-05)."""
     return lines.hunks(_changes(spark, folder))
@@ -38,8 +44,7 @@ def hunks(spark: SparkSession, folder: str) -> DataFrame:
 def line_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Lines added, removed and changed per change; one-sided changes count whole (AG-03, WN-07, JN-04, JN-05)."""
     changes = _changes(spark, folder)
-    count = lambda c: F.when(F.col(c) == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit("\n"))) + F.when(F.col(c).endswith("\n"), 0).otherwise(1))
-    alone = changes.filter("change_kind in ('insert', 'delete')").select("change_id", F.coalesce(count("after_text"), F.lit(0)).cast("long").alias("added"), F.coalesce(count("before_text"), F.lit(0)).cast("long").alias("removed"), F.lit(0).cast("long").alias("changed"))
+    alone = changes.filter("change_kind in ('insert', 'delete')").select("change_id", _lines("after_text").alias("added"), _lines("before_text").alias("removed"), F.lit(0).cast("long").alias("changed"))
     return lines.line_stats(hunks(spark, folder)).unionByName(alone)
 
 
@@ -51,8 +56,7 @@ def typos(spark: SparkSession, folder: str) -> DataFrame:
 
 def _edits(spark: SparkSession, folder: str) -> DataFrame:
     commits = table(spark, folder, "commits").groupBy("commit_id").agg(F.min("idx").alias("idx"), F.min("tick").alias("tick"), F.min("author_id").alias("author_id"))
-    count = F.size(F.split("after_text", "\n")).cast("long")
-    whole = F.when(F.col("change_kind") == "insert", F.array(F.struct(F.lit("insert").alias("op"), count.alias("n"))))
+    whole = F.when(F.col("change_kind") == "insert", F.array(F.struct(F.lit("insert").alias("op"), _lines("after_text").alias("n"))))
     runs = lines.hunks(_changes(spark, folder)).groupBy("change_id").agg(F.sort_array(F.collect_list(F.struct("seq", "op", "n"))).alias("r"))
     runs = runs.select("change_id", F.transform("r", lambda x: F.struct(x["op"].alias("op"), x["n"].alias("n"))).alias("runs"))
     path = F.coalesce("from_path", "to_path")
