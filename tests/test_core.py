@@ -275,3 +275,16 @@ def test_ledger_counts_changed_lines(spark, tmp_path):
     assert run("ledger_by_year", "year", "lines") == {(2027, 12.0 + 2 * 12 / 30), (2028, 2 * 18 / 30)}
     assert run("file_line_churn", "path", "commits", "contributors", "added", "removed", "changed", "score") == {("f", 2, 2, 10, 1, 1, 2.12), ("g", 1, 1, 4, 0, 0, 1.04), ("h", 2, 2, 1, 4, 0, 2.05)}
     assert run("file_line_contributors", "path", "top_contributor", "added", "changed") == {("f", 7, 10, 0), ("g", 7, 4, 0), ("h", 8, 1, 0)}
+
+
+def test_functions_change_together(spark, tmp_path):
+    src = "def a():\n    return 1\n\n\ndef b():\n    return 2\n\n\ndef c():\n    return 3\n"
+    both = src.replace("1", "one").replace("3", "three")
+    changes = [(1, 1, 1, "insert", None, "m.py", None, src), (2, 1, 2, "modify", "m.py", "m.py", src, both), (3, 1, 2, "modify", "n.py", "n.py", "import os\nimport sys\n\n\n" + src, src.replace("return 2", "return 9")), (4, 1, 3, "modify", "m.py", "m.py", both, both.replace("one", "1"))]
+    changes += [(5, 1, 4, "modify", "o.py", "o.py", "x = 1\n\n\n" + src, src.replace("def b():\n    return 2\n\n\n", "")), (6, 1, 5, "delete", "p.py", None, src, None)]
+    spark.createDataFrame(changes, "change_id long, repo_id long, commit_id long, change_kind string, from_path string, to_path string, before_text string, after_text string").write.parquet(f"{tmp_path}/file_changes.parquet")
+    hot = {(r.path, r.name): (r.changes, r.coupled, r.score, r.risk) for r in registry.QUERIES["function_hotness"](spark, str(tmp_path)).collect()}
+    a, b, c = "Function_a", "Function_b", "Function_c"
+    assert hot == {("m.py", a): (3, 3, 1.0, "LOW"), ("m.py", b): (1, 2, 0.333333, "LOW"), ("m.py", c): (2, 3, 0.666667, "LOW"), ("n.py", b): (1, 2, 0.333333, "LOW"), ("o.py", b): (1, 0, 0.333333, "LOW")}
+    pairs = {(r.path1, r.name1, r.path2, r.name2): (r.co_changes, r.strength) for r in registry.QUERIES["function_coupling"](spark, str(tmp_path)).collect()}
+    assert pairs == {("m.py", a, "m.py", b): (1, 0.333333), ("m.py", a, "m.py", c): (2, 0.666667), ("m.py", b, "m.py", c): (1, 0.5), ("m.py", a, "n.py", b): (1, 0.333333), ("m.py", c, "n.py", b): (1, 0.5)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import lines, trees
@@ -112,9 +112,51 @@ def function_documentation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shotness_touches(spark: SparkSession, folder: str) -> DataFrame:
-    """Functions whose lines a change meets (JN-09, 2.12)."""
-    fns = trees.functions_of(_nodes(spark, folder), "change_id").select("change_id", F.concat_ws("_", "type", "token").alias("name"), (F.col("start_line") - 1).alias("start"), (F.col("end_line") - 1).alias("stop"))
-    return lines.touched_ranges(lines.hunks(_changes(spark, folder)), fns)
+    """Functions whose lines a change meets: deleted lines on the before side, inserted ones on the after side, all of a new file (JN-09, 2.12)."""
+    python = _changes(spark, folder).filter("coalesce(to_path, from_path) like '%.py'")
+
+    def functions(rows: DataFrame, text: str) -> DataFrame:
+        fns = trees.functions_of(trees.parse_nodes(rows.filter(F.col(text).isNotNull()).select("change_id", text), "change_id", text), "change_id")
+        return fns.select("change_id", F.concat_ws("_", "type", "token").alias("name"), (F.col("start_line") - 1).alias("start"), (F.col("end_line") - 1).alias("stop"))
+
+    edited, born = python.filter("change_kind not in ('insert', 'delete')"), python.filter("change_kind = 'insert'")
+    runs = settle(lines.hunks(edited))
+    gone = lines.touched_ranges(runs.filter("op = 'delete'"), functions(edited, "before_text"))
+    new = lines.touched_ranges(runs.filter("op = 'insert'"), functions(edited, "after_text"))
+    return gone.unionByName(new).unionByName(functions(born, "after_text").select("change_id", "name")).distinct()
+
+
+def _touched(spark: SparkSession, folder: str) -> DataFrame:
+    """(repo_id, commit_id, path, name): the functions that each commit meets, once each."""
+    changes = _changes(spark, folder).select("change_id", "repo_id", "commit_id", F.coalesce("to_path", "from_path").alias("path"))
+    return shotness_touches(spark, folder).join(changes, "change_id").select("repo_id", "commit_id", "path", "name").distinct()
+
+
+def _met_together(touched: DataFrame) -> DataFrame:
+    """Pairs of functions that a commit meets both, and how many commits do."""
+    a, b = (touched.select("repo_id", "commit_id", F.struct("path", "name").alias(k)) for k in ("f1", "f2"))
+    return a.join(b, ["repo_id", "commit_id"]).filter("f1 < f2").groupBy("repo_id", "f1", "f2").agg(F.count("*").alias("co_changes"))
+
+
+def function_hotness(spark: SparkSession, folder: str) -> DataFrame:
+    """Commits that meet each function, how many functions it is coupled with, and its risk (AG-46, AG-47, AG-49)."""
+    touched = settle(_touched(spark, folder))
+    pairs = _met_together(touched)
+    coupled = pairs.select("repo_id", F.explode(F.array("f1", "f2")).alias("f")).groupBy("repo_id", "f").agg(F.count("*").alias("coupled"))
+    each = touched.groupBy("repo_id", F.struct("path", "name").alias("f")).agg(F.count("*").alias("changes")).join(coupled, ["repo_id", "f"], "left")
+    score = F.round(F.col("changes") / F.max("changes").over(Window.partitionBy("repo_id")), 6)
+    risk = F.when(F.col("changes") >= 20, "HIGH").when(F.col("changes") >= 10, "MEDIUM").otherwise("LOW")
+    return each.select("repo_id", "f.path", "f.name", "changes", F.coalesce("coupled", F.lit(0)).alias("coupled"), score.alias("score"), risk.alias("risk"))
+
+
+def function_coupling(spark: SparkSession, folder: str) -> DataFrame:
+    """Functions that commits meet together (JN-08, AG-48)."""
+    touched = settle(_touched(spark, folder))
+    own = touched.groupBy("repo_id", F.struct("path", "name").alias("f")).agg(F.count("*").alias("n"))
+    own1, own2 = (own.select("repo_id", F.col("f").alias(f"f{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
+    pairs = _met_together(touched).join(own1, ["repo_id", "f1"]).join(own2, ["repo_id", "f2"])
+    strength = F.round(F.col("co_changes") / F.greatest("co_changes", "n1", "n2"), 6)
+    return pairs.select("repo_id", F.col("f1.path").alias("path1"), F.col("f1.name").alias("name1"), F.col("f2.path").alias("path2"), F.col("f2.name").alias("name2"), "co_changes", strength.alias("strength"))
 
 
 def tree_diff(spark: SparkSession, folder: str) -> DataFrame:
@@ -164,7 +206,7 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     return _drained(counts.select(F.unix_seconds("start").alias("start_s"), "event_type", "n"), "complete")
 
 
-QUERIES = {f.__name__: f for f in (ticks, hunks, line_stats, typos, survival_ledger, survival_rollup, nodes, function_measures, tree_types, function_cohesion, comment_quality, function_documentation, shotness_touches, tree_diff, tree_query, stream_ticks, stream_windows)}
+QUERIES = {f.__name__: f for f in (ticks, hunks, line_stats, typos, survival_ledger, survival_rollup, nodes, function_measures, tree_types, function_cohesion, comment_quality, function_documentation, shotness_touches, function_hotness, function_coupling, tree_diff, tree_query, stream_ticks, stream_windows)}
 SQL: dict[str, str] = {
     "stream_windows": "SELECT cast(floor(epoch_us(ts) / 36e8) AS bigint) * 3600 AS start_s, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
