@@ -315,6 +315,21 @@ def test_leaks(spark):
     assert leakage.leaks(d, "doc", "text", items.limit(0), "item", "text").count() == 0
 
 
+def test_leaks_without_rare_words(spark):
+    # common words in an order of their own, a text under many keys, and a frame with names put in
+    common = [f"w{k}" for k in range(24)]
+    texts = [" ".join(random.Random(k).sample(common, 24)) for k in range(8)]
+    frame = "we saw that {} had moved all of the old rows of {} to the new place before {}"
+    items = [(k, t) for k, t in enumerate(texts)] + [(20 + k, "one text of plain words that stands under very many keys and has nothing that is rare") for k in range(6)]
+    items += [(40 + k, frame.format(f"na{k}", f"nb{k}", f"nc{k}")) for k in range(5)]
+    edited = texts[1].split()[4:20]
+    edited[7] = "changed"
+    docs = [(1, "x " + " ".join(texts[0].split()[3:18])), (2, " ".join(edited)), (3, items[8][1]), (4, frame.format("other", "names", "here"))]
+    d, i = spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame(items, "item long, text string")
+    got = {(r.doc, r.item): r.edits for r in leakage.leaks(d, "doc", "text", i, "item", "text").collect()}
+    assert got == {(1, 0): 0, (2, 1): 1, **{(3, 20 + k): 0 for k in range(6)}}
+
+
 def test_window_edits_match_brute_force():
     rng = random.Random(10)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.session import settle
 
 WORDS, EDITS, SHINGLE = 15, 3, 3
-#: Words of its own that a passage must hold; a word is an item's own if at most this share of the items has it.
+#: Words of its own that mark a passage as no frame; a word is an item's own if at most this share of the item texts has it.
 RARE, OWN_SHARE = 2, 0.01
 KEPT = WORDS - SHINGLE + 1 - EDITS * SHINGLE
 #: Distinct shingles of the items up to which they are sent to every executor (16 MB); beyond, both sides are shuffled.
@@ -67,11 +67,21 @@ def window_edits(item: list[str], words: list[str]) -> np.ndarray:
     return best
 
 
-def passage(item: list[str], words: list[str], rare: set[str]) -> int | None:
+def _lone(texts: DataFrame, n: int, name: str) -> DataFrame:
+    """(words, name): for each n successive words of a text, whether no other text has them."""
+    runs = F.expr(f"transform(sequence(1, size(words) - {n - 1}), i -> xxhash64(slice(words, i, {n})))")
+    each = texts.filter(F.size("words") >= n).select("words", F.posexplode(runs).alias("pos", "h"))
+    spread = each.groupBy("h").agg(F.count_distinct("words").alias("texts"))
+    placed = each.join(spread, "h").groupBy("words").agg(F.sort_array(F.collect_list(F.struct("pos", (F.col("texts") == 1).alias("lone")))).alias("p"))
+    return placed.select("words", F.transform("p", lambda x: x["lone"]).alias(name))
+
+
+def passage(item: list[str], words: list[str], rare: set[str], window_lone: list[bool], shingle_lone: list[bool]) -> int | None:
     """Edits of the best passage, or None if there is none.
 
-    A passage has at most EDITS edits and still holds RARE of its item's own words, those that few
-    items have: a frame that many items share, filled with other names, is no passage.
+    A passage has at most EDITS edits and is no frame that several items share, filled with other
+    names: it is whole and no other item text has it, or it still holds RARE of its item's own words
+    or KEPT shingles that no other item text has.
     """
     held = rare.intersection(words)
     own = np.array([w in held for w in item])
@@ -79,7 +89,11 @@ def passage(item: list[str], words: list[str], rare: set[str]) -> int | None:
     if not len(edits):
         return None
     names = np.convolve(own, np.ones(WORDS, int), "valid")
-    good = edits[(edits <= EDITS) & (names >= RARE)]
+    there = set(zip(*(words[k:] for k in range(SHINGLE))))
+    held_lone = np.array([bool(one) and t in there for one, t in zip(shingle_lone, zip(*(item[k:] for k in range(SHINGLE))))])
+    shingles = np.convolve(held_lone, np.ones(WORDS - SHINGLE + 1, int), "valid")
+    whole = (edits == 0) & np.array(window_lone, bool)
+    good = edits[(edits <= EDITS) & (whole | (names >= RARE) | (shingles >= KEPT))]
     return int(good.min()) if len(good) else None
 
 
@@ -115,15 +129,18 @@ def leaks(documents: DataFrame, doc_key: str, doc_text: str, items: DataFrame, i
     parts = spans.join(docs, doc_key).select(
         doc_key, item_key, F.expr(f"slice(words, greatest(1, lo + 1 - {WORDS + EDITS}), hi - lo + {SHINGLE + 2 * (WORDS + EDITS)})").alias("part")
     )
-    used = wanted.select(item_key, F.explode(F.array_distinct("words")).alias("word"))
-    total = F.greatest(F.lit(3.0), F.lit(OWN_SHARE) * F.lit(wanted.count()))
+    # equal texts under several keys are one text: what they hold is their own all the same
+    texts = settle(wanted.select("words").distinct())
+    used = texts.select("words", F.explode(F.array_distinct("words")).alias("word"))
+    total = F.greatest(F.lit(3.0), F.lit(OWN_SHARE) * F.lit(texts.count()))
     few = used.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") <= total).select("word")
-    own = used.join(few, "word").groupBy(item_key).agg(F.collect_list("word").alias("own"))
-    pairs = parts.join(wanted.withColumnRenamed("words", "item_words").join(own, item_key), item_key)
+    own = used.join(few, "word").groupBy("words").agg(F.collect_list("word").alias("own"))
+    rated_texts = texts.join(_lone(texts, WORDS, "window_lone"), "words").join(_lone(texts, SHINGLE, "shingle_lone"), "words").join(own, "words", "left")
+    pairs = parts.join(wanted.join(settle(rated_texts), "words").withColumnRenamed("words", "item_words"), item_key)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            edits = [passage(list(i), list(p), set(o)) for i, p, o in zip(batch["item_words"], batch["part"], batch["own"])]
+            edits = [passage(list(i), list(p), set(() if o is None else o), w, s) for i, p, o, w, s in zip(batch["item_words"], batch["part"], batch["own"], batch["window_lone"], batch["shingle_lone"])]
             out = pd.DataFrame({doc_key: batch[doc_key], item_key: batch[item_key], "edits": pd.array(edits, dtype="Int64")})
             yield out[out["edits"].notna()].astype({"edits": "int64"})
 
