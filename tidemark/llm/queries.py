@@ -13,7 +13,7 @@ from tidemark.llm.handwritten import not_handwritten
 from tidemark.llm.leakage import leaks
 from tidemark.llm.names import link_names, pairs_of
 from tidemark.llm.packing import pack, token_counts
-from tidemark.llm.quantiles import add_up, encode, merge, percentiles, sketches
+from tidemark.llm.quantiles import add_up, encode, merge, percentiles, rank_misses, sketches
 from tidemark.llm.ranking import aggregate_ranks
 from tidemark.llm.syntax import invalid_sources
 from tidemark.sources import table
@@ -98,12 +98,13 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rates.withColumn("rate", F.col("invalid") / F.col("texts"))
 
 
+SCOPES = ["repo_id", "tick", "prog_lang"]
+
+
 def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles of the four measures per repository, per tick and per language, with their error bound."""
-    quality = table(spark, folder, "file_quality").select("repo_id", "tick", "prog_lang", *MEASURES)
-    scopes = F.array(*(F.struct(F.lit(s).alias("scope"), F.col(s).cast("string").alias("grp")) for s in ("repo_id", "tick", "prog_lang")))
-    cells = encode(quality.select(F.inline(scopes), *MEASURES), ["scope", "grp"], MEASURES)
-    return percentiles(add_up(cells, ["scope", "grp"]), ["scope", "grp"], PROBS)
+    """Percentiles of the four measures per repository, per tick and per language, with their rank error."""
+    parts = encode(table(spark, folder, "file_quality"), [], MEASURES, scopes=SCOPES)
+    return percentiles(add_up(parts, ["scope", "grp"]), ["scope", "grp"], PROBS)
 
 
 def p5_merged(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,6 +113,23 @@ def p5_merged(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles(merge(sketches(quality, ["repo_id", "tick"], MEASURES), ["repo_id"]), ["repo_id"], PROBS)
 
 
+def p5_misses(spark: SparkSession, folder: str) -> DataFrame:
+    """Per repository, tick or language and measure, the exact number of rows and whether all percentiles of p5_percentiles keep their rank error."""
+    quality = table(spark, folder, "file_quality")
+    scopes = F.array(*(F.struct(F.lit(s).alias("scope"), F.col(s).cast("string").alias("grp")) for s in SCOPES))
+    found = rank_misses(quality.select(F.inline(scopes), *MEASURES), p5_percentiles(spark, folder), ["scope", "grp"], MEASURES, PROBS)
+    return found.select("scope", "grp", "metric", "n", "within")
+
+
+_MISSES_SQL = """
+    WITH s AS (SELECT 'repo_id' AS scope, CAST(repo_id AS VARCHAR) AS grp, complexity, cognitive, halstead_volume, halstead_effort FROM file_quality
+      UNION ALL SELECT 'tick', CAST(tick AS VARCHAR), complexity, cognitive, halstead_volume, halstead_effort FROM file_quality
+      UNION ALL SELECT 'prog_lang', prog_lang, complexity, cognitive, halstead_volume, halstead_effort FROM file_quality),
+    v AS (SELECT scope, grp, 'complexity' AS metric, complexity AS x FROM s UNION ALL SELECT scope, grp, 'cognitive', cognitive FROM s
+      UNION ALL SELECT scope, grp, 'halstead_volume', halstead_volume FROM s UNION ALL SELECT scope, grp, 'halstead_effort', halstead_effort FROM s)
+    SELECT scope, grp, metric, count(*) AS n, true AS within FROM v WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY scope, grp, metric"""
+
+
 def p6_entities(spark: SparkSession, folder: str) -> DataFrame:
     """Records of developers (dev_id) and bus_factor (bus_id) with the entity they stand for in their repository."""
     devs = table(spark, folder, "developers").filter("dev_id <> 1").select(F.col("dev_id").alias("id"), F.col("repo_id").alias("scope"), F.col("dev_name").alias("name"), "email")
@@ -205,6 +223,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_rates": p3_rates,
     "p5_percentiles": p5_percentiles,
     "p5_merged": p5_merged,
+    "p5_misses": p5_misses,
     "p6_found": p6_found,
     "p6_entities": p6_entities,
     "p6_contributors": p6_contributors,
@@ -219,6 +238,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_readings": p10_readings,
 }
 SQL: dict[str, str] = {
+    "p5_misses": _MISSES_SQL,
     "p1_found": _pair_sql("commits", "commit_id", "p.repo_id AS repo_id, path_a, path_b"),
     "p1_pairs": _pair_sql("commits", "commit_id", _LONG),
     "p1_tick_pairs": _pair_sql("tick_metrics", "tick", _LONG),
