@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.spikes import SpikeOptions, implausible
+from tidemark.operators.spikes import SpikeOptions, implausible, tail_report
 from tidemark.session import settle
 from tidemark.sources import table
 
@@ -19,6 +19,19 @@ def _ticks(spark: SparkSession, folder: str) -> DataFrame:
     return raw.groupBy("repo_id", "tick").agg(picked.alias("r")).select("repo_id", "tick", "r.*")
 
 
+def _readings(ticks: DataFrame) -> DataFrame:
+    """(source, tick, metric, value, signed, impossible): a row per reading."""
+    negative = {
+        "lines_added": F.col("lines_added") < 0,
+        "net_churn": F.col("net_churn") + F.col("lines_removed") < 0,
+        "files_changed": (F.col("files_changed") < 0) | ((F.col("files_changed") == 0) & (F.col("lines_added") > 0)),
+    }
+    each = F.array(
+        *(F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("value"), F.lit(m == "net_churn").alias("signed"), F.coalesce(negative[m], F.lit(False)).alias("impossible")) for m in METRICS)
+    )
+    return ticks.select(F.col("repo_id").alias("source"), "tick", F.inline(each))
+
+
 def judged(spark: SparkSession, folder: str, options: SpikeOptions = SpikeOptions()) -> DataFrame:
     """(repo_id, tick, metric, value, reason): every implausible reading with why.
 
@@ -28,16 +41,7 @@ def judged(spark: SparkSession, folder: str, options: SpikeOptions = SpikeOption
     neighbours: added lines if they are negative, stuck or a spike, otherwise net churn.
     """
     ticks = settle(_ticks(spark, folder))
-    negative = {
-        "lines_added": F.col("lines_added") < 0,
-        "net_churn": F.col("net_churn") + F.col("lines_removed") < 0,
-        "files_changed": (F.col("files_changed") < 0) | ((F.col("files_changed") == 0) & (F.col("lines_added") > 0)),
-    }
-    each = F.array(
-        *(F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("value"), F.lit(m == "net_churn").alias("signed"), F.coalesce(negative[m], F.lit(False)).alias("impossible")) for m in METRICS)
-    )
-    readings = ticks.select(F.col("repo_id").alias("source"), "tick", F.inline(each))
-    found = implausible(readings, options)
+    found = implausible(_readings(ticks), options)
     off = ticks.filter(F.col("net_churn") != F.col("lines_added") - F.col("lines_removed")).select(F.col("repo_id").alias("source"), "tick", F.lit(True).alias("off"))
     added = found.filter("metric = 'lines_added' and (impossible or stuck or spike)").select("source", "tick", F.lit(True).alias("added_wrong"))
     wrong_net = off.join(added, ["source", "tick"], "left_anti").select("source", "tick", F.lit("net_churn").alias("metric"), "off")
@@ -59,5 +63,10 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
     return judged(spark, folder).groupBy("repo_id", "metric", "reason").agg(F.count("*").alias("readings"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates}
+def p4_tails(spark: SparkSession, folder: str) -> DataFrame:
+    """Per metric, how many readings exceed the fitted cutoffs of several risks, beside how many sound ones should."""
+    return tail_report(_readings(_ticks(spark, folder)), [1e-2, 1e-3, 1e-5])
+
+
+QUERIES = {"p4_found": p4_found, "p4_rates": p4_rates, "p4_tails": p4_tails}
 SQL: dict[str, str] = {}
