@@ -91,6 +91,28 @@ def test_shared_directories(spark):
     assert got == {(r, p) for r, p, _ in rows if r < 4 and "/lib/" in p}
 
 
+def test_copied_directory_with_edits(spark):
+    body = lambda k: f"int copied{k}(int value) {{\n  int other{k} = value * value + compute{k}(value);\n  return other{k} - combine(value, other{k});\n}}\n"
+    rows = [(10 * r + k, r, None, f"src/m{r}/d{k}.c", None, body(k), "r", "h") for r in (1, 2, 3) for k in range(5)]
+    # repository 3 rewrote one file and put a header on another; a fourth repository has only one of the files
+    rows[10] = (30, 3, None, "src/m3/d0.c", None, body(77), "r", "h")
+    rows[11] = (31, 3, None, "src/m3/d1.c", None, "// Code generated by x. DO NOT EDIT.\n" + body(1), "r", "h")
+    rows += [(40, 4, None, "src/own/a.c", None, body(2), "r", "h"), (41, 4, None, "src/own/b.c", None, body(78), "r", "h")]
+    got: dict = {}
+    for r in handwritten.evidence(spark.createDataFrame(rows, CHANGES)).collect():
+        got.setdefault(r.change_id, set()).add(r.rule)
+    assert got[30] == {"directory"} and got[31] >= {"header", "file", "directory"} and set(got) == {r[0] for r in rows} - {41}
+
+
+def test_deep_trees_and_long_headers(spark):
+    deep = "/".join(["d"] * 9)
+    leaves = spark.createDataFrame([(r, f"{deep}/{f}.c", f"h{f}") for r in (1, 2, 3) for f in "xy"], "repo_id long, path string, hash string")
+    assert handwritten.shared_subtrees(leaves).count() == 6
+    licence = "/*\n" + " * words of a licence\n" * 40 + " */\n"
+    assert handwritten.judge_side("a.go", licence + "// Code generated by x. DO NOT EDIT.\npackage a\n") == "generated"
+    assert handwritten.judge_side("a.go", licence + "package a\n// Code generated by x. DO NOT EDIT.\n") is None
+
+
 # -- 3 ---------------------------------------------------------------------
 GO = 'package a\n\nimport (\n\t"fmt"\n\t"x/y"\n)\n\ntype T struct {\n\ta int\n\tb map[string][]int `json:"b"`\n}\n\nfunc (t *T) f(x int, ys ...string) (int, error) {\n\tfor i := 0; i < x; i++ {\n\t\tif v, ok := t.b["k"]; ok && len(v) > 0 {\n\t\t\treturn v[0], nil\n\t\t} else if x == 2 {\n\t\t\tcontinue\n\t\t}\n\t}\n\tfor k, v := range t.b {\n\t\tfmt.Println(k, v)\n\t}\n\tswitch x {\n\tcase 1, 2:\n\t\treturn 1, nil\n\tdefault:\n\t\tdefer func() { recover() }()\n\t}\n\tgo f(x)\n\tvar z = []int{1, 2, 3}\n\treturn z[1:2][0], nil\n}\n'
 JS = 'const a = require("./a");\nlet {b, c: d} = a, [e] = [1, 2];\nfunction f(x, y = 3, ...z) {\n  if (x === y) {\n    return /ab+[/]c/g.test(x) ? `t ${x}` : null\n  } else if (!y) throw new Error("no")\n  for (const k of z) { console.log(k) }\n  for (let i = 0, n = 3; i < n; i++) f(i)\n  switch (x) {\n    case 1: break;\n    default: f(2);\n  }\n  return { x, "k": y, [z]: 1, m() { return 1 }, ...z };\n}\nclass K extends a.B {\n  constructor() { super(); this.q = 1 }\n  get v() { return this.q }\n  static s = 3;\n}\nconst g = async (p) => { await p; };\nconst h = x => x * 2\nmodule.exports = { f, K };\n!function(q){q.a="b"}(this);\n'

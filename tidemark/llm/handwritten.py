@@ -1,9 +1,11 @@
 """Files that nobody wrote by hand: generated, minified, third-party copies, data saved as code.
 
-Header, layout and place are judged per file. Copies of third-party code that no header or place
-gives away are found by Merkle hashes: the blocks of a file are hashed without comments and layout,
-a file is the hash of its blocks, a directory the hash of its files and directories, level by level
-from the deepest. What three or more repositories share was taken over from outside.
+Merkle hashes go bottom-up over every state of every path, whatever else is known of it: a file is
+hashed without comments and layout, a directory is the hash of its files and directories, level by
+level from the deepest. A subtree, be it one file, that three or more repositories share was taken
+over from outside; so was a directory of which half are such subtrees, with the files in it that were
+edited since, and a file of which half the blocks stand in three repositories. Header, layout and
+place are judged per file beside that.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from tidemark.session import settle
 SHARED_BY = 3
 #: Characters, without layout, under which a block says nothing about where it came from.
 BLOCK_LEAST = 80
-#: Share of a file's blocks (by length) that must be taken over.
+#: Share of a file's blocks (by length), or of a directory's entries, that must be taken over.
 TAKEN_SHARE = 0.5
 _PLACES = re.compile(r"(?:^|/)(?:vendor|vendors|third[_-]?party|3rd[_-]?party|node_modules|bower_components|external|externals|deps|Godeps|_workspace|site-packages|generated-sources|generated_src|__generated__)/", re.I)
 _NAMES = re.compile(
@@ -45,11 +46,25 @@ _LITERALS = re.compile(r"0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|\"[A-Z
 _LETTERS = re.compile(r"[A-Za-z_]{2,}")
 
 
+#: Lines at the top whose comments count as the file's own even behind code.
+TOP = 14
+
+
 def header_says(text: str) -> str | None:
-    """'generated' or 'third-party' if the comments that open the file say so of the file itself."""
-    licence = False
-    for line in text.lstrip("﻿").split("\n", 14)[:14]:
+    """'generated' or 'third-party' if the comments that open the file, however long, say so of the file itself."""
+    licence = inside = False
+    opening = True
+    for i, line in enumerate(text.lstrip("\ufeff").split("\n")):
+        if not opening and i >= TOP:
+            break
         m = _COMMENT.match(line)
+        bare = line.strip()
+        if inside:
+            inside = "*/" not in bare
+        elif not m and bare:
+            opening = False
+        elif bare.startswith("/*"):
+            inside = "*/" not in bare
         if not m:
             continue
         said = m[1].strip()
@@ -93,22 +108,37 @@ def looks_like_data(text: str, code: bool) -> bool:
     return (share > 0.5 and len(found) >= 40) or (share + commas / solid > 0.72 and len(found) >= 40) or (share > 0.6)
 
 
-def judge_side(path: str | None, text: str | None) -> str | None:
-    """Why a file with this path and text is not hand-written, or None."""
+def judge(path: str | None, text: str | None) -> tuple[str | None, str | None]:
+    """(reason, rule): why a file with this path and text is not hand-written and by which rule, or None."""
     path = path or ""
     if _PLACES.search(path):
-        return "generated" if "generated" in path.lower() else "third-party"
+        return "generated" if "generated" in path.lower() else "third-party", "place"
     if text is None or len(text.strip()) < 20:
-        return None
+        return None, None
     if _NAMES.search(path):
-        return "minified" if re.search(r"min\.|bundle", path) else "generated"
+        return "minified" if re.search(r"min\.|bundle", path) else "generated", "name"
     said = header_says(text)
     if said:
-        return said
+        return said, "header"
     code = not path.endswith(".json")
     if code and looks_minified(text):
-        return "minified"
-    return "data" if looks_like_data(text, code) else None
+        return "minified", "layout"
+    return ("data", "layout") if looks_like_data(text, code) else (None, None)
+
+
+def judge_side(path: str | None, text: str | None) -> str | None:
+    """Why a file with this path and text is not hand-written, or None."""
+    return judge(path, text)[0]
+
+
+def _digest(solid: str) -> str:
+    return hashlib.blake2b(solid.encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+def file_hash(text: str) -> str | None:
+    """Hash of a file without comments, layout and line ends; None if too little is left to tell where it came from."""
+    solid = re.sub(r"\s+", "", _STRIP.sub("", text))
+    return _digest(solid) if len(solid) >= BLOCK_LEAST else None
 
 
 def blocks(text: str) -> list[tuple[str, int]]:
@@ -117,60 +147,85 @@ def blocks(text: str) -> list[tuple[str, int]]:
     for part in re.split(r"\n[ \t]*\n", _STRIP.sub("", text.replace("\r\n", "\n"))):
         solid = re.sub(r"\s+", "", part)
         if len(solid) >= BLOCK_LEAST:
-            out.append((hashlib.blake2b(solid.encode("utf-8", "replace"), digest_size=8).hexdigest(), len(solid)))
+            out.append((_digest(solid), len(solid)))
     return out
 
 
 def _sides(changes: DataFrame) -> DataFrame:
-    """(change_id, repo_id, path, path_reason, reason, blocks) per side with a text or path."""
+    """(change_id, repo_id, side, path, reason, rule, hash, blocks) per side with a text or path."""
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for cid, repo, fp, tp, before, after in zip(*(batch[c] for c in ("change_id", "repo_id", "from_path", "to_path", "before_text", "after_text"))):
                 for side, path, text in (("before", fp, before), ("after", tp, after)):
                     if path is not None or text is not None:
-                        rows.append((cid, repo, side, path, judge_side(path, text), [{"hash": h, "size": n} for h, n in blocks(text or "")]))
-            yield pd.DataFrame(rows, columns=["change_id", "repo_id", "side", "path", "reason", "blocks"])
+                        rows.append((cid, repo, side, path, *judge(path, text), file_hash(text or ""), [{"hash": h, "size": n} for h, n in blocks(text or "")]))
+            yield pd.DataFrame(rows, columns=["change_id", "repo_id", "side", "path", "reason", "rule", "hash", "blocks"])
+
+    schema = f"change_id {changes.schema['change_id'].dataType.simpleString()}, repo_id {changes.schema['repo_id'].dataType.simpleString()}, side string, path string, reason string, rule string, hash string, blocks array<struct<hash: string, size: int>>"
+    return changes.select("change_id", "repo_id", "from_path", "to_path", "before_text", "after_text").mapInPandas(judged, schema)
 
-    schema = f"change_id {changes.schema['change_id'].dataType.simpleString()}, repo_id {changes.schema['repo_id'].dataType.simpleString()}, side string, path string, reason string, blocks array<struct<hash: string, size: int>>"
-    return changes.select("change_id", "repo_id", "from_path", "to_path", "before_text", "after_text").mapInPandas(judge, schema)
 
+def _held(rows: DataFrame) -> DataFrame:
+    """(hash): what SHARED_BY repositories hold. A repository that holds one a million times counts it once, before the shuffle."""
+    return rows.filter("repo_id is not null and hash is not null").select("hash", "repo_id").distinct().groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED_BY).select("hash")
 
-def shared_subtrees(leaves: DataFrame, most: int = 64) -> DataFrame:
-    """(repo_id, path) of the files below a directory whose Merkle hash SHARED_BY repositories have.
 
-    leaves: (repo_id, path, hash), one row per file. Hashes go up one level at a time, from the
-    deepest directory: a directory's hash is that of the set of its children's names and hashes. Only
-    directories of two or more files count, so that a single shared file is left to its own hash.
+def shared_subtrees(leaves: DataFrame) -> DataFrame:
+    """(repo_id, path) of the files below a directory that was taken over.
+
+    leaves: (repo_id, path, hash), one row per file; hash may be null. Hashes go up one level at a
+    time, from the deepest directory there is: a directory's hash is that of the set of its entries'
+    hashes, whatever they are called. Taken over is a directory of two or more files whose hash
+    SHARED_BY repositories have, or of whose entries, two at least, a share of TAKEN_SHARE have such a hash.
     """
-    nodes = settle(leaves.select("repo_id", "path", "hash", F.lit(1).cast("long").alias("files")))
     depth = F.size(F.split("path", "/"))
-    deepest = min(most, nodes.agg(F.max(depth)).first()[0] or 0)
-    found = []
-    level = nodes
-    for d in range(deepest, 1, -1):
-        here = level.filter(depth == d)
-        child = F.concat_ws(":", F.element_at(F.split("path", "/"), -1), "hash")
-        # of the set of children, not their list: it is added up before the shuffle, however many there are
-        both = [F.hex(F.bit_xor(F.xxhash64(child, F.lit(salt)))) for salt in (1, 2)]
-        up = here.groupBy("repo_id", F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(F.concat_ws(".", *both, F.count("*")).alias("hash"), F.sum("files").alias("files"))
-        up = settle(up.select("repo_id", F.col("dir").alias("path"), "hash", "files"))
-        found.append(up.filter("files >= 2"))
-        level = level.filter(depth < d).unionByName(up)
-    if not found:
-        return nodes.select("repo_id", "path").limit(0)
-    dirs = found[0]
-    for other in found[1:]:
-        dirs = dirs.unionByName(other)
-    shared = dirs.groupBy("hash").agg(F.count_distinct("repo_id").alias("n")).filter(F.col("n") >= SHARED_BY)
-    tops = dirs.join(shared.select("hash"), "hash", "left_semi").select("repo_id", F.col("path").alias("dir")).distinct()
+    nodes = settle(leaves.select("repo_id", "path", "hash", F.lit(1).cast("long").alias("files"), depth.alias("depth")))
+    parent = F.regexp_replace("path", "/[^/]*$", "")
+    every, level = [nodes], nodes
+    for d in range(nodes.agg(F.max("depth")).first()[0] or 0, 1, -1):
+        # of the set of entries, not their list: it is added up before the shuffle, however many there are
+        both = [F.hex(F.bit_xor(F.xxhash64(F.coalesce("hash", F.lit("")), F.lit(salt)))) for salt in (1, 2)]
+        up = level.filter(F.col("depth") == d).groupBy("repo_id", parent.alias("dir")).agg(F.concat_ws(".", *both, F.count("*")).alias("hash"), F.sum("files").alias("files"))
+        up = settle(up.select("repo_id", F.col("dir").alias("path"), "hash", "files", F.lit(d - 1).alias("depth")))
+        every.append(up)
+        level = level.filter(F.col("depth") < d).unionByName(up)
+    whole = every[0]
+    for other in every[1:]:
+        whole = whole.unionByName(other)
+    held = settle(_held(whole.filter("files >= 2").unionByName(nodes)))
+    known = whole.join(held.withColumn("taken", F.lit(1)), "hash", "left")
+    exact = known.filter("taken = 1 and files >= 2").select("repo_id", F.col("path").alias("dir"))
+    entries = known.filter("depth > 1").groupBy("repo_id", parent.alias("dir")).agg(F.count("*").alias("n"), F.count("taken").alias("m"))
+    mostly = entries.filter((F.col("m") >= 2) & (F.col("m") >= TAKEN_SHARE * F.col("n"))).select("repo_id", "dir")
+    tops = exact.unionByName(mostly).distinct()
     # every ancestor of a file is an equality to meet, never a range
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     return nodes.select("repo_id", "path", F.explode(above).alias("dir")).join(tops, ["repo_id", "dir"], "left_semi").select("repo_id", "path").distinct()
 
 
+def evidence(changes: DataFrame) -> DataFrame:
+    """(change_id, reason, rule): each rule by which a change's file is not hand-written, each once.
+
+    Rules: file and directory (shared subtrees), blocks (shared parts), place, name, header, layout.
+    """
+    sides = settle(_sides(changes))
+    plain = sides.filter("reason is not null").select("change_id", "reason", "rule")
+    here = sides.filter("repo_id is not null")
+    files = sides.join(_held(here), "hash", "left_semi").select("change_id", F.lit("file").alias("rule"))
+    # the last state of each path stands in its directory
+    last = here.filter("path is not null").groupBy("repo_id", "path").agg(F.max_by(F.struct("hash"), F.struct("change_id", "side")).alias("r")).select("repo_id", "path", "r.hash")
+    below = here.filter("size(blocks) > 0").join(shared_subtrees(last), ["repo_id", "path"], "left_semi").select("change_id", F.lit("directory").alias("rule"))
+    parts = sides.filter("size(blocks) > 0").select("change_id", "side", "repo_id", F.inline("blocks"))
+    sized = parts.join(_held(parts).withColumn("taken", F.lit(1)), "hash", "left").groupBy("change_id", "side")
+    sized = sized.agg(F.sum("size").alias("whole"), F.sum(F.when(F.col("taken") == 1, F.col("size"))).alias("part"))
+    copies = sized.filter(F.col("part") >= TAKEN_SHARE * F.col("whole")).select("change_id", F.lit("blocks").alias("rule"))
+    taken = files.unionByName(below).unionByName(copies).select("change_id", F.lit("third-party").alias("reason"), "rule")
+    return plain.unionByName(taken).distinct()
+
+
 def not_handwritten(changes: DataFrame) -> DataFrame:
     """(change_id, reason) of the changes whose file is not hand-written, each once.
 
@@ -179,17 +234,5 @@ def not_handwritten(changes: DataFrame) -> DataFrame:
     empty and trivial texts are hand-written unless their place says otherwise; repeated rows and
     ids give one row; an empty table none.
     """
-    sides = settle(_sides(changes))
-    plain = sides.filter("reason is not null").select("change_id", "reason")
-    unknown = sides.filter("reason is null and size(blocks) > 0")
-    each = sides.select("repo_id", F.inline("blocks")).filter("repo_id is not null")
-    # distinct per repository first: a repository that holds a block a million times sends it once
-    holders = each.select("hash", "repo_id").distinct().groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED_BY).select("hash", F.lit(1).alias("taken"))
-    parts = unknown.select("change_id", "side", F.inline("blocks")).join(holders, "hash", "left")
-    taken = parts.groupBy("change_id", "side").agg(F.sum("size").alias("whole"), F.sum(F.when(F.col("taken") == 1, F.col("size"))).alias("part"))
-    copies = taken.filter(F.col("part") >= TAKEN_SHARE * F.col("whole")).select("change_id", F.lit("third-party").alias("reason"))
-    leaves = unknown.filter("repo_id is not null and path is not null").groupBy("repo_id", "path").agg(F.max_by("blocks", F.struct("change_id", "side")).alias("b"))
-    leaves = leaves.select("repo_id", "path", F.sha2(F.concat_ws(",", F.col("b.hash")), 256).alias("hash"))
-    below = unknown.join(shared_subtrees(leaves), ["repo_id", "path"], "left_semi").select("change_id", F.lit("third-party").alias("reason"))
     order = F.when(F.col("reason") == "generated", 0).when(F.col("reason") == "minified", 1).when(F.col("reason") == "third-party", 2).otherwise(3)
-    return plain.unionByName(copies).unionByName(below).groupBy("change_id").agg(F.min_by("reason", order).alias("reason"))
+    return evidence(changes).groupBy("change_id").agg(F.min_by("reason", order).alias("reason"))

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.cooccurrence import cooccurrence
 from tidemark.llm.encoding import count_sentences, garbled, garbled_keys, learn_readings
-from tidemark.llm.handwritten import not_handwritten
+from tidemark.llm.handwritten import evidence, not_handwritten
 from tidemark.llm.leakage import leaks
 from tidemark.llm.names import link_names, pairs_of
 from tidemark.llm.packing import pack, token_counts
 from tidemark.llm.quantiles import add_up, encode, merge, percentiles, rank_misses, sketches
 from tidemark.llm.ranking import aggregate_ranks
 from tidemark.llm.syntax import invalid_sources
+from tidemark.session import settle
 from tidemark.sources import table
 
 MEASURES = ["complexity", "cognitive", "halstead_volume", "halstead_effort"]
@@ -70,6 +71,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_reasons(spark, folder).select("change_id")
 
 
+def p2_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Per rule, how many changes it finds, and how many no other kind of rule does (subtrees and blocks are one kind)."""
+    rules = settle(evidence(table(spark, folder, "file_changes")))
+    kind = F.when(F.col("rule").isin("file", "directory", "blocks"), "shared").otherwise(F.col("rule"))
+    alone = rules.groupBy("change_id").agg(F.count_distinct(kind).alias("kinds"))
+    return rules.join(alone, "change_id").groupBy("rule").agg(F.count_distinct("change_id").alias("changes"), F.count_distinct(F.when(F.col("kinds") == 1, F.col("change_id"))).alias("only_so"))
+
+
 def p2_settings(spark: SparkSession, folder: str) -> DataFrame:
     """Per repository, how its own path settings compare: changes they miss and changes they skip wrongly."""
     changes = table(spark, folder, "file_changes").select("change_id", "repo_id", F.coalesce("to_path", "from_path").alias("path"))
@@ -217,6 +226,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_tick_pairs": p1_tick_pairs,
     "p2_found": p2_found,
     "p2_reasons": p2_reasons,
+    "p2_evidence": p2_evidence,
     "p2_settings": p2_settings,
     "p3_found": p3_found,
     "p3_checked": p3_checked,
