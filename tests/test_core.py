@@ -1,6 +1,7 @@
 """Core operators on small tables with results that can be worked out by hand."""
 
 import json
+import random
 import subprocess
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.ordering import log_code
 from tidemark.operators import identity, lines, trees
 from tidemark.operators import ticks as ticks_op
+from tidemark.operators.graph import components
 from tidemark.operators.spikes import SpikeOptions, implausible, stuck_runs
 from tidemark.plans import analyzers, registry, treequery
 from tidemark.plans.declared import expand
@@ -243,17 +245,58 @@ def test_plans_agree_with_sql(spark):
     con = duckdb.connect()
     for p in Path(DATA).glob("*.parquet"):
         con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-    for name in ("anomaly_ticks", "file_coupling", "bus_factor", "quality_ticks", "survival_dense", "import_list", "developers"):
+    for name in ("anomaly_ticks", "file_coupling", "quality_ticks", "import_list", "developers"):
         df = registry.QUERIES[name](spark, DATA)
         theirs = con.sql(registry.SQL[name])
         assert sorted(df.columns) == sorted(theirs.columns), name
         assert df.count() == len(theirs.fetchall()), name
 
 
+def test_amounts_equal_what_texts_say(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from pathlib import Path
+
+    con = duckdb.connect()
+    for p in Path(DATA).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    for name in ("change_net_lines", "language_net_lines", "file_net_lines", "survival_current", "extension_languages", "language_filter"):
+        df = registry.QUERIES[name](spark, DATA)
+        theirs = con.sql(registry.SQL[name])
+        assert sorted(map(tuple, df.select(*theirs.columns).collect())) == sorted(theirs.fetchall()), name
+
+
 def test_survival_conserves_lines(spark):
-    dense = registry.QUERIES["survival_dense"](spark, DATA)
-    files_ = registry.QUERIES["survival_rollup"](spark, DATA)
-    assert dense.count() > 0 and files_.count() > 0
+    sums = [F.sum("added"), F.sum("removed")]
+    stats = registry.QUERIES["line_stats"](spark, DATA).agg(*sums).first()
+    assert registry.QUERIES["file_churn"](spark, DATA).agg(*sums).first() == stats
+    assert registry.QUERIES["developer_languages"](spark, DATA).agg(*sums).first() == stats
+    assert registry.QUERIES["languages"](spark, DATA).agg(F.sum("total_lines"), F.sum("contribution") - F.sum("total_lines")).first() == stats
+    dense = registry.QUERIES["survival_dense"](spark, DATA).cache()
+    assert dense.filter("lines < 0").count() == 0
+    last = dense.groupBy("repo_id").agg(F.max("sample").alias("sample"))
+    standing = dense.join(last, ["repo_id", "sample"]).agg(F.sum("lines")).first()[0]
+    assert standing == registry.QUERIES["survival_ledger"](spark, DATA).agg(F.sum("delta")).first()[0] == registry.QUERIES["survival_files"](spark, DATA).select(F.sum(F.round(F.col("lines") * 100 / F.col("pct")))).first()[0]
+
+
+def test_ledger_follows_renames(spark):
+    kind = "lineage string, idx long, tick long, author_id long, kind string, from_path string, to_path string, runs array<struct<op:string,n:long>>"
+    rows = [("x", 0, 1, 7, "insert", None, "a", [("insert", 10)]), ("x", 1, 3, 8, "rename", "a", "b", [("equal", 6), ("delete", 4), ("insert", 1)]), ("x", 2, 4, 9, "insert", None, "a", [("insert", 5)]), ("x", 3, 5, 9, "delete", "b", None, None)]
+    led = lines.line_ledger(spark.createDataFrame(rows, kind))
+    assert {r.path: r.n for r in led.groupBy("path").agg(F.sum("delta").alias("n")).collect()} == {"a": 5, "b": 0}
+    assert {tuple(r) for r in led.filter("not moved and delta < 0").select("author_id", "orig_author", "delta").collect()} == {(8, 7, -4), (9, 7, -6), (9, 8, -1)}
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(7, 7), (None, 3)]
+    nodes = sorted({x for e in edges for x in e if x is not None} | {999})
+    got = {r.id: r.label for r in components(spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            if a is not None:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want
 
 
 def test_ledger_counts_changed_lines(spark, tmp_path):
@@ -266,15 +309,15 @@ def test_ledger_counts_changed_lines(spark, tmp_path):
     changes = [(1, 1, 1, "insert", None, "f", None, ten), (2, 1, 1, "insert", None, "g", None, b), (3, 1, 2, "modify", "f", "f", ten, less + "new\n"), (4, 1, 2, "modify", "h", "h", b, "x\n" + b), (5, 1, 3, "modify", "h", "h", "x\n" + b, "x\n")]
     spark.createDataFrame(changes, "change_id long, repo_id long, commit_id long, change_kind string, from_path string, to_path string, before_text string, after_text string").write.parquet(f"{tmp_path}/file_changes.parquet")
     run = lambda name, *cols: {tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).select(*cols).collect()}
-    assert run("ledger_dense", "sample", "band", "lines") == {(s, 0, 14 if s < 1 else 12) for s in range(5)} | {(s, 1, 2) for s in range(1, 5)}
-    assert run("ledger_global", "sample", "total", "rate") == {(0, 14, 0.875)} | {(s, 14, 0.875) for s in range(1, 5)}
-    assert run("ledger_files", "path", "top_owner", "lines", "pct") == {("f", 7, 8, 88.888889), ("g", 7, 4, 100.0), ("h", 8, 1, 100.0)}
-    assert run("ledger_developers", "author_id", "current_lines", "peak", "rate") == {(7, 12, 14, 0.857143), (8, 2, 2, 1.0)}
-    assert run("ledger_interaction", "orig_author", "modifier", "lines") == {(7, "self", 14), (7, "8", -2), (8, "self", 2)}
-    assert run("ledger_age", "age", "lines") == {("3-6", 14)}
-    assert run("ledger_by_year", "year", "lines") == {(2027, 12.0 + 2 * 12 / 30), (2028, 2 * 18 / 30)}
-    assert run("file_line_churn", "path", "commits", "contributors", "added", "removed", "changed", "score") == {("f", 2, 2, 10, 1, 1, 2.12), ("g", 1, 1, 4, 0, 0, 1.04), ("h", 2, 2, 1, 4, 0, 2.05)}
-    assert run("file_line_contributors", "path", "top_contributor", "added", "changed") == {("f", 7, 10, 0), ("g", 7, 4, 0), ("h", 8, 1, 0)}
+    assert run("survival_dense", "sample", "band", "lines") == {(s, 0, 14 if s < 1 else 12) for s in range(5)} | {(s, 1, 2) for s in range(1, 5)}
+    assert run("survival_global", "sample", "total", "rate") == {(0, 14, 0.875)} | {(s, 14, 0.875) for s in range(1, 5)}
+    assert run("survival_files", "path", "top_owner", "lines", "pct") == {("f", 7, 8, 88.888889), ("g", 7, 4, 100.0), ("h", 8, 1, 100.0)}
+    assert run("survival_developers", "author_id", "current_lines", "peak", "rate") == {(7, 12, 14, 0.857143), (8, 2, 2, 1.0)}
+    assert run("survival_interaction", "orig_author", "modifier", "lines") == {(7, "self", 14), (7, "8", -2), (8, "self", 2)}
+    assert run("survival_age", "age", "lines") == {("3-6", 14)}
+    assert run("survival_by_year", "year", "lines") == {(2027, 12.0 + 2 * 12 / 30), (2028, 2 * 18 / 30)}
+    assert run("file_churn", "path", "commits", "contributors", "added", "removed", "changed", "score") == {("f", 2, 2, 10, 1, 1, 2.12), ("g", 1, 1, 4, 0, 0, 1.04), ("h", 2, 2, 1, 4, 0, 2.05)}
+    assert run("file_contributors", "path", "top_contributor", "added", "changed") == {("f", 7, 10, 0), ("g", 7, 4, 0), ("h", 8, 1, 0)}
 
 
 def test_functions_change_together(spark, tmp_path):

@@ -10,11 +10,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def lines_of(text: str) -> list[str]:
+    """The lines of a text, cut at line feeds only; a last line feed opens no further line."""
+    found = text.split("\n")
+    if found[-1] == "":
+        found.pop()
+    return found
+
+
 def line_runs(before: str, after: str) -> list[tuple[str, int, int, int]]:
     """(op, lines, old start, new start) runs of equal, delete and insert; a delete comes before the insert that replaces it."""
-    a, b = before.splitlines(), after.splitlines()
-    out = []
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+    a, b = lines_of(before), lines_of(after)
+    # what both begin and end with needs no comparison
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a[head:]), reversed(b[head:]))) if x != y), min(len(a), len(b)) - head)
+    out = [("equal", head, 0, 0)] if head else []
+    middle = difflib.SequenceMatcher(None, a[head : len(a) - tail], b[head : len(b) - tail], autojunk=False)
+    for tag, i1, i2, j1, j2 in middle.get_opcodes():
+        i1, i2, j1, j2 = i1 + head, i2 + head, j1 + head, j2 + head
         if tag == "equal":
             out.append(("equal", i2 - i1, i1, j1))
             continue
@@ -22,6 +35,8 @@ def line_runs(before: str, after: str) -> list[tuple[str, int, int, int]]:
             out.append(("delete", i2 - i1, i1, j1))
         if j2 > j1:
             out.append(("insert", j2 - j1, i2, j1))
+    if tail:
+        out.append(("equal", tail, len(a) - tail, len(b) - tail))
     return out
 
 
@@ -123,32 +138,48 @@ UNSEEN = (-1, -1)
 
 
 def line_ledger(edits: DataFrame) -> DataFrame:
-    """(lineage, cur_tick, author_id, orig_tick, orig_author, delta): who wrote and who removed which lines, and when.
+    """(lineage, path, cur_tick, author_id, orig_tick, orig_author, delta, moved): who wrote and who removed which lines, and when.
 
-    edits: (lineage, idx, tick, author_id, kind, runs array<struct<op, n>>), one row per change of a
-    file over its renames. An insert starts anew, a delete removes every line left. Lines that stood
-    before a lineage's first change keep their places but are never counted, as nobody is known to
+    edits: (lineage, idx, tick, author_id, kind, runs array<struct<op, n>>) and, where files are renamed,
+    from_path and to_path; one row per change. A lineage holds all paths that renames link, and each
+    keeps its own lines. An insert starts anew, a delete removes every line left, a rename moves
+    them: rows with `moved` take them from the one path and give them to the other. Lines that stood
+    before a path's first change keep their places but are never counted, as nobody is known to
     have written them. A lineage is replayed in order by one task, with its segments as the only
     state; sums over the ledger need no further order.
     """
+    for name in ("from_path", "to_path"):
+        if name not in edits.columns:
+            edits = edits.withColumn(name, F.lit(None).cast("string"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lineage, segments = None, []
+        lineage, files = None, {}
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
                 if r.lineage != lineage:
-                    lineage, segments = r.lineage, []
+                    lineage, files = r.lineage, {}
+                tick, author = int(r.tick), int(r.author_id)
+                path, old = r.to_path if r.to_path is not None else r.from_path, r.from_path
+                if old is not None and old != path and old in files:
+                    segments = files.setdefault(path, [])
+                    segments[:] = files.pop(old)
+                    for n, t, w in segments:
+                        if (t, w) != UNSEEN:
+                            rows += [(r.lineage, old, tick, author, t, w, -n, True), (r.lineage, path, tick, author, t, w, n, True)]
+                segments = files.setdefault(path, [])
                 runs = [(x["op"], int(x["n"])) for x in r.runs] if r.runs is not None else []
+                left = []
                 if r.kind == "insert":
-                    segments.clear()
+                    # a file that is born again loses what it still had
+                    left = replay(segments, [("delete", sum(s[0] for s in segments))], tick, author)
                 elif r.kind == "delete":
                     runs = [("delete", sum(s[0] for s in segments))]
                 elif not segments and (before := sum(n for op, n in runs if op != "insert")):
                     segments.append([before, *UNSEEN])
-                rows += [(r.lineage, *x) for x in replay(segments, runs, int(r.tick), int(r.author_id)) if x[2:4] != UNSEEN]
-            yield pd.DataFrame(rows, columns=["lineage", "cur_tick", "author_id", "orig_tick", "orig_author", "delta"])
+                rows += [(r.lineage, path, *x, False) for x in left + replay(segments, runs, tick, author) if x[2:4] != UNSEEN]
+            yield pd.DataFrame(rows, columns=["lineage", "path", "cur_tick", "author_id", "orig_tick", "orig_author", "delta", "moved"])
 
     # a lineage is in one partition, its changes in order, and its segments go on from batch to batch
-    ordered = edits.select("lineage", "idx", "tick", "author_id", "kind", "runs").repartition("lineage").sortWithinPartitions("lineage", "idx")
-    return ordered.mapInPandas(run, "lineage string, cur_tick long, author_id long, orig_tick long, orig_author long, delta long")
+    ordered = edits.select("lineage", "idx", "tick", "author_id", "kind", "from_path", "to_path", "runs").repartition("lineage").sortWithinPartitions("lineage", "idx")
+    return ordered.mapInPandas(run, "lineage string, path string, cur_tick long, author_id long, orig_tick long, orig_author long, delta long, moved boolean")

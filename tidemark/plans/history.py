@@ -60,14 +60,6 @@ shared AS (SELECT a.repo_id, a.author_id AS dev1, b.author_id AS dev2, cast(sum(
 devpairs AS (SELECT shared.repo_id, dev1, dev2, shared_changes, least(shared_changes / ((o1.n + o2.n) / 2e0), 1e0) AS strength FROM shared JOIN own o1 ON o1.repo_id = shared.repo_id AND o1.author_id = dev1 JOIN own o2 ON o2.repo_id = shared.repo_id AND o2.author_id = dev2)"""
 )
 _NAMES = "names AS (SELECT dev_id, min(dev_name) AS name FROM developers GROUP BY dev_id)"
-#: Contributions per repository and language, ranked; the bus factor is the fewest developers with half of them.
-B = (
-    CL
-    + """, contrib AS (SELECT repo_id, lang, author_id, cast(sum(coalesce(lines_added, 0) + coalesce(lines_removed, 0)) AS bigint) AS amount FROM cl GROUP BY repo_id, lang, author_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id, lang ORDER BY amount DESC, author_id) AS rk, sum(amount) OVER (PARTITION BY repo_id, lang) AS total, sum(amount) OVER (PARTITION BY repo_id, lang ORDER BY amount DESC, author_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM contrib),
-bus AS (SELECT repo_id, lang, cast(min(CASE WHEN upto * 2 >= total THEN rk END) AS bigint) AS bus_factor, count(*) AS contributors, cast(max(CASE WHEN rk = 1 THEN author_id END) AS bigint) AS primary_dev, max(CASE WHEN rk = 1 THEN 1e2 * amount / total END) AS primary_pct, cast(max(CASE WHEN rk = 2 THEN author_id END) AS bigint) AS secondary_dev, max(CASE WHEN rk = 2 THEN 1e2 * amount / total END) AS secondary_pct FROM ranked WHERE total > 0 GROUP BY repo_id, lang)"""
-)
-_RISK = "CASE WHEN primary_pct >= 9e1 THEN 'CRITICAL' WHEN primary_pct >= 8e1 THEN 'HIGH' WHEN primary_pct >= 6e1 THEN 'MEDIUM' ELSE 'LOW' END"
 #: Per-file history: an insert starts a file's history anew, deletes and merges count as revisions of it.
 H = (
     C
@@ -75,22 +67,12 @@ H = (
 born AS (SELECT repo_id, path, max(CASE WHEN change_kind = 'insert' THEN idx END) AS since FROM act GROUP BY repo_id, path),
 hist AS (SELECT act.* FROM act JOIN born ON born.repo_id = act.repo_id AND born.path = act.path WHERE since IS NULL OR idx >= since)"""
 )
-#: Revisions of each path in the commits, with the change sizes of the commits spread over their files.
+#: Revisions of each path in the commits.
 FH = (
     CF
-    + """, spread AS (SELECT cf.repo_id, cf.path, cf.author_id, cf.commit_id, cf.idx, coalesce(c.lines_added, 0) AS added, coalesce(c.lines_removed, 0) AS removed FROM cf JOIN c ON c.commit_id = cf.commit_id), churned AS (SELECT repo_id, path, count(*) AS commits, count(DISTINCT author_id) AS contributors, cast(sum(added) AS bigint) AS added, cast(sum(removed) AS bigint) AS removed FROM spread GROUP BY repo_id, path)"""
+    + """, churned AS (SELECT repo_id, path, count(*) AS commits, count(DISTINCT author_id) AS contributors FROM cf GROUP BY repo_id, path)"""
 )
 _HOT = "CASE WHEN commits >= 50 THEN 'CRITICAL' WHEN commits >= 30 THEN 'HIGH' WHEN commits >= 15 THEN 'MEDIUM' END"
-#: Line survival: a ledger of lines by the tick they were written in, from the net changes of each path.
-L = (
-    CF
-    + """, led0 AS (SELECT cf.repo_id, cf.path, cf.tick AS cur_tick, cf.author_id, lag(cf.tick) OVER (PARTITION BY cf.repo_id, cf.path ORDER BY cf.idx, cf.commit_id) AS prev_tick, lag(cf.author_id) OVER (PARTITION BY cf.repo_id, cf.path ORDER BY cf.idx, cf.commit_id) AS prev_author, coalesce(c.lines_added, 0) AS added, coalesce(c.lines_removed, 0) AS removed FROM cf JOIN c ON c.commit_id = cf.commit_id),
-led AS (SELECT repo_id, path, cur_tick, cur_tick AS orig_tick, author_id, author_id AS orig_author, added AS delta FROM led0 WHERE added > 0 UNION ALL SELECT repo_id, path, cur_tick, prev_tick, author_id, prev_author, -removed FROM led0 WHERE removed > 0 AND prev_tick IS NOT NULL),
-summed AS (SELECT repo_id, cast(floor(cur_tick / 3e1) AS bigint) AS sample, cast(floor(orig_tick / 3e1) AS bigint) AS band, cast(sum(delta) AS bigint) AS delta FROM led GROUP BY repo_id, cast(floor(cur_tick / 3e1) AS bigint), cast(floor(orig_tick / 3e1) AS bigint)),
-samples AS (SELECT DISTINCT repo_id, sample FROM summed), bands AS (SELECT repo_id, band, min(sample) AS since FROM summed GROUP BY repo_id, band),
-grid AS (SELECT samples.repo_id, sample, band FROM samples JOIN bands ON bands.repo_id = samples.repo_id AND sample >= since),
-dense AS (SELECT g.repo_id, g.sample, g.band, cast(sum(coalesce(delta, 0)) OVER (PARTITION BY g.repo_id, g.band ORDER BY g.sample ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS lines FROM grid g LEFT JOIN summed s ON s.repo_id = g.repo_id AND s.sample = g.sample AND s.band = g.band)"""
-)
 #: Quality per tick.
 QT = (
     Q
@@ -119,17 +101,12 @@ PLANS = {
     # developers (AG-04 .. AG-11, TK-01, TK-11, PL-04 .. PL-06, PL-13)
     "dev_ticks": f"WITH {C} SELECT repo_id, tick, author_id, count(*) AS commits, cast(sum(lines_added) AS bigint) AS added, cast(sum(lines_removed) AS bigint) AS removed FROM c GROUP BY repo_id, tick, author_id",
     "developers": f"WITH {C}, {_NAMES} SELECT repo_id, author_id, coalesce(name, CASE WHEN author_id = 262142 THEN '<unmatched>' ELSE 'dev_' || cast(author_id AS varchar(20)) END) AS name, count(*) AS commits, cast(sum(coalesce(lines_added, 0)) AS bigint) AS added, cast(sum(coalesce(lines_removed, 0)) AS bigint) AS removed, cast(sum(coalesce(lines_added, 0) - coalesce(lines_removed, 0)) AS bigint) AS net_lines, min(tick) AS first_tick, max(tick) AS last_tick, count(DISTINCT tick) AS active_ticks FROM c LEFT JOIN names ON dev_id = author_id GROUP BY repo_id, author_id, name",
-    "developer_languages": f"WITH {CL} SELECT repo_id, author_id, lang, cast(sum(files) AS bigint) AS files, count(DISTINCT commit_id) AS commits FROM cl GROUP BY repo_id, author_id, lang",
-    "languages": f"WITH {CL} SELECT repo_id, lang, cast(sum(coalesce(lines_added, 0)) AS bigint) AS total_lines, cast(sum(coalesce(lines_added, 0) + coalesce(lines_removed, 0)) AS bigint) AS contribution, count(DISTINCT author_id) AS contributors FROM cl GROUP BY repo_id, lang",
-    "bus_factor": f"WITH {B} SELECT repo_id, lang, bus_factor, contributors, primary_dev, round(primary_pct, 6) AS primary_pct, secondary_dev, round(secondary_pct, 6) AS secondary_pct, {_RISK} AS risk FROM bus",
-    "bus_factor_risks": f"WITH {B} SELECT repo_id, {_RISK} AS risk, count(*) AS languages FROM bus GROUP BY repo_id, {_RISK}",
     "activity": f"WITH {C} SELECT repo_id, tick, count(*) AS commits, count(DISTINCT author_id) AS authors FROM c GROUP BY repo_id, tick",
     "activity_others": f"WITH {C}, n AS (SELECT repo_id, author_id, count(*) AS commits FROM c GROUP BY repo_id, author_id), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY commits DESC, author_id) AS rk FROM n) SELECT c.repo_id, tick, CASE WHEN rk <= 10 THEN cast(c.author_id AS varchar(20)) ELSE 'Others' END AS who, count(*) AS commits FROM c JOIN r ON r.repo_id = c.repo_id AND r.author_id = c.author_id GROUP BY c.repo_id, tick, CASE WHEN rk <= 10 THEN cast(c.author_id AS varchar(20)) ELSE 'Others' END",
     "churn": f"WITH {C} SELECT repo_id, tick, cast(sum(lines_added) AS bigint) AS added, cast(sum(lines_removed) AS bigint) AS removed, cast(sum(lines_added - lines_removed) AS bigint) AS net FROM c GROUP BY repo_id, tick",
     "devs_aggregate": f"WITH {CL}, last AS (SELECT repo_id, max(tick) AS top FROM c GROUP BY repo_id), act AS (SELECT c.repo_id, count(DISTINCT author_id) AS active FROM c JOIN last ON last.repo_id = c.repo_id WHERE tick >= greatest(top - 90, 0) GROUP BY c.repo_id), langs AS (SELECT repo_id, count(DISTINCT lang) AS n_langs FROM cl GROUP BY repo_id), "
     "amount AS (SELECT repo_id, author_id, cast(sum(coalesce(lines_added, 0) + coalesce(lines_removed, 0)) AS bigint) AS n FROM c GROUP BY repo_id, author_id), ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, author_id) AS rk, sum(n) OVER (PARTITION BY repo_id) AS total, sum(n) OVER (PARTITION BY repo_id ORDER BY n DESC, author_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM amount), "
     "bf AS (SELECT repo_id, cast(min(CASE WHEN upto * 2 >= total THEN rk END) AS bigint) AS project_bus_factor FROM ranked GROUP BY repo_id) SELECT c.repo_id, count(*) AS commits, cast(sum(lines_added) AS bigint) AS added, cast(sum(lines_removed) AS bigint) AS removed, count(DISTINCT author_id) AS developers, max(active) AS active_developers, max(top) AS analysis_period_ticks, max(n_langs) AS total_languages, max(project_bus_factor) AS project_bus_factor FROM c JOIN last ON last.repo_id = c.repo_id LEFT JOIN act ON act.repo_id = c.repo_id LEFT JOIN langs ON langs.repo_id = c.repo_id LEFT JOIN bf ON bf.repo_id = c.repo_id GROUP BY c.repo_id",
-    "workload_tree": f"WITH {CL}, s AS (SELECT repo_id, author_id, lang, cast(sum(coalesce(lines_added, 0)) AS bigint) AS added FROM cl GROUP BY repo_id, author_id, lang), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, author_id ORDER BY added DESC, lang) AS rk FROM s) SELECT repo_id, lang AS primary_lang, count(*) AS developers, cast(sum(added) AS bigint) AS added FROM r WHERE rk = 1 GROUP BY repo_id, lang",
     "language_radar": f"WITH {CL}, d AS (SELECT repo_id, author_id, count(*) AS n FROM c GROUP BY repo_id, author_id), dr AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, author_id) AS rk FROM d), s AS (SELECT cl.repo_id, cl.author_id, lang, cast(sum(files) AS bigint) AS files FROM cl JOIN dr ON dr.repo_id = cl.repo_id AND dr.author_id = cl.author_id WHERE rk <= 5 GROUP BY cl.repo_id, cl.author_id, lang) SELECT repo_id, author_id, lang, files, round(files * 1e0 / max(files) OVER (PARTITION BY repo_id, lang), 6) AS share FROM s",
     "anonymised_developers": f"WITH {C}, n AS (SELECT repo_id, author_id, count(*) AS commits FROM c GROUP BY repo_id, author_id) SELECT repo_id, 'Developer-' || cast(row_number() OVER (PARTITION BY repo_id ORDER BY commits DESC, author_id) AS varchar(20)) AS name, commits FROM n",
     # coupling (AG-12 .. AG-18, JN-06, JN-07, FLT-09, TK-02, PL-07, PL-14)
@@ -140,10 +117,8 @@ PLANS = {
     "file_ownership": f"WITH {CF}, n AS (SELECT repo_id, path, author_id, count(*) AS k FROM cf GROUP BY repo_id, path, author_id), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY k DESC, author_id) AS rk FROM n) SELECT repo_id, path, count(*) AS contributors, max(CASE WHEN rk = 1 THEN author_id END) AS top_contributor, cast(sum(k) AS bigint) AS revisions FROM r GROUP BY repo_id, path",
     "ownership_buckets": f"WITH {CF}, n AS (SELECT repo_id, path, count(DISTINCT author_id) AS k FROM cf GROUP BY repo_id, path), b AS (SELECT repo_id, CASE WHEN k <= 1 THEN '1' WHEN k <= 3 THEN '2-3' WHEN k <= 5 THEN '4-5' ELSE '6+' END AS bucket FROM n) SELECT repo_id, bucket, count(*) AS files FROM b GROUP BY repo_id, bucket",
     # file history (AG-19 .. AG-23, FLT-10, TK-03)
-    "file_churn": f"WITH {FH} SELECT repo_id, path, commits, contributors, added, removed, round(commits + (added + removed) / 1e2, 6) AS score FROM churned",
-    "file_contributors": f"WITH {FH}, k AS (SELECT repo_id, path, author_id, count(*) AS commits, cast(sum(added) AS bigint) AS added FROM spread GROUP BY repo_id, path, author_id), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY added DESC, author_id) AS rk FROM k) SELECT repo_id, path, author_id AS top_contributor, commits, added FROM r WHERE rk = 1",
     "hotspots": f"WITH {FH} SELECT repo_id, path, commits, {_HOT} AS risk FROM churned WHERE commits >= 15",
-    "file_history_aggregate": f"WITH {FH}, k AS (SELECT repo_id, count(DISTINCT author_id) AS contributors FROM spread GROUP BY repo_id) SELECT churned.repo_id, count(*) AS files, cast(sum(commits) AS bigint) AS revisions, max(k.contributors) AS contributors, round(avg(commits), 6) AS avg_commits, round(avg(churned.contributors), 6) AS avg_contributors, COUNTIF(commits >= 15) AS high_churn FROM churned JOIN k ON k.repo_id = churned.repo_id GROUP BY churned.repo_id",
+    "file_history_aggregate": f"WITH {FH}, k AS (SELECT repo_id, count(DISTINCT author_id) AS contributors FROM cf GROUP BY repo_id) SELECT churned.repo_id, count(*) AS files, cast(sum(commits) AS bigint) AS revisions, max(k.contributors) AS contributors, round(avg(commits), 6) AS avg_commits, round(avg(churned.contributors), 6) AS avg_contributors, COUNTIF(commits >= 15) AS high_churn FROM churned JOIN k ON k.repo_id = churned.repo_id GROUP BY churned.repo_id",
     "file_revisions": f"WITH {H} SELECT repo_id, path, count(*) AS revisions, min(idx) AS first_idx, max(idx) AS last_idx FROM hist GROUP BY repo_id, path",
     "current_files": f"WITH {H}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY idx DESC, change_id DESC) AS rk FROM act) SELECT repo_id, path FROM r WHERE rk = 1 AND change_kind <> 'delete'",
     "renames": "SELECT repo_id, commit_id, from_path, to_path FROM file_changes WHERE from_path <> to_path",
@@ -165,13 +140,6 @@ PLANS = {
     "sentiment_low": f"WITH {S} SELECT repo_id, tick, round(score, 6) AS score, CASE WHEN score <= 2e-1 THEN 'HIGH' ELSE 'MEDIUM' END AS risk FROM st WHERE score <= 4e-1",
     "sentiment_aggregate": f"WITH {S} SELECT repo_id, count(*) AS ticks, cast(sum(comments) AS bigint) AS comments, COUNTIF(score >= 6e-1) AS positive, COUNTIF(score <= 4e-1) AS negative, round(avg(score), 6) AS mean_score FROM st GROUP BY repo_id",
     "sentiment_trend": f"WITH {S}, f AS (SELECT repo_id, count(*) AS n, min(tick) AS t0, max(tick) AS t1, avg(score) AS mean, coalesce(regr_slope(score, tick), 0e0) AS slope, avg(tick) AS tm FROM st GROUP BY repo_id) SELECT repo_id, round(mean + slope * (t0 - tm), 5) AS start_score, round(mean + slope * (t1 - tm), 5) AS end_score, CASE WHEN slope * (t1 - t0) > 1e-1 THEN 'improving' WHEN slope * (t1 - t0) < -1e-1 THEN 'declining' ELSE 'stable' END AS trend FROM f",
-    # line survival (AG-26 .. AG-32, WN-09, PL-12)
-    "survival_dense": f"WITH {L} SELECT repo_id, sample, band, lines FROM dense",
-    "survival_global": f"WITH {L}, tops AS (SELECT repo_id, band, max(lines) AS top FROM dense GROUP BY repo_id, band), peak AS (SELECT repo_id, cast(sum(top) AS bigint) AS peak FROM tops WHERE top > 0 GROUP BY repo_id) SELECT d.repo_id, sample, cast(sum(CASE WHEN lines > 0 THEN lines ELSE 0 END) AS bigint) AS total, round(sum(CASE WHEN lines > 0 THEN lines ELSE 0 END) * 1e0 / max(peak), 6) AS rate FROM dense d JOIN peak ON peak.repo_id = d.repo_id GROUP BY d.repo_id, sample",
-    "survival_files": f"WITH {L}, o AS (SELECT repo_id, path, orig_author, cast(sum(delta) AS bigint) AS lines FROM led GROUP BY repo_id, path, orig_author), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY lines DESC, orig_author) AS rk, sum(lines) OVER (PARTITION BY repo_id, path) AS total FROM o WHERE lines > 0) SELECT repo_id, path, orig_author AS top_owner, lines, round(1e2 * lines / total, 6) AS pct FROM r WHERE rk = 1",
-    "survival_developers": f"WITH {L}, s AS (SELECT repo_id, orig_author, cur_tick, cast(sum(delta) AS bigint) AS d FROM led GROUP BY repo_id, orig_author, cur_tick), u AS (SELECT repo_id, orig_author, cur_tick, sum(d) OVER (PARTITION BY repo_id, orig_author ORDER BY cur_tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lines FROM s), k AS (SELECT repo_id, orig_author, cast(max(lines) AS bigint) AS peak FROM u GROUP BY repo_id, orig_author), e AS (SELECT repo_id, orig_author, cast(sum(d) AS bigint) AS current_lines FROM s GROUP BY repo_id, orig_author) SELECT k.repo_id, k.orig_author AS author_id, current_lines, peak, CASE WHEN peak > 0 THEN round(current_lines * 1e0 / peak, 6) ELSE 0e0 END AS rate FROM k JOIN e ON e.repo_id = k.repo_id AND e.orig_author = k.orig_author",
-    "survival_interaction": f"WITH {L} SELECT repo_id, orig_author, CASE WHEN author_id = orig_author THEN 'self' WHEN author_id = 262142 THEN 'unknown' ELSE cast(author_id AS varchar(20)) END AS modifier, cast(sum(delta) AS bigint) AS lines FROM led GROUP BY repo_id, orig_author, CASE WHEN author_id = orig_author THEN 'self' WHEN author_id = 262142 THEN 'unknown' ELSE cast(author_id AS varchar(20)) END",
-    "survival_age": f"WITH {L}, last AS (SELECT repo_id, max(sample) AS s, max(band) AS b FROM dense GROUP BY repo_id), a AS (SELECT d.repo_id, CASE WHEN b - band < 1 THEN '<1' WHEN b - band < 3 THEN '1-3' WHEN b - band < 6 THEN '3-6' WHEN b - band < 12 THEN '6-12' ELSE '>12' END AS age, lines FROM dense d JOIN last ON last.repo_id = d.repo_id AND s = sample WHERE lines > 0) SELECT repo_id, age, cast(sum(lines) AS bigint) AS lines FROM a GROUP BY repo_id, age",
     # merged series and set operations (JN-01 .. JN-03, SO-01 .. SO-06, AG-11)
     "commit_series": f"WITH {CF}, {Q}, a AS (SELECT commit_id, count(*) AS n_files FROM cf GROUP BY commit_id), b AS (SELECT commit_id, round(avg(complexity), 6) AS complexity, max(max_complexity) AS max_complexity FROM q GROUP BY commit_id) SELECT c.repo_id, c.commit_id, c.tick, c.author_id, n_files, complexity, max_complexity, net_churn FROM c LEFT JOIN a ON a.commit_id = c.commit_id LEFT JOIN b ON b.commit_id = c.commit_id WHERE n_files IS NOT NULL OR complexity IS NOT NULL",
     "analysed_commits": f"WITH {C} SELECT commit_id FROM c WHERE files_changed > 0 UNION SELECT commit_id FROM file_quality UNION SELECT commit_id FROM file_changes",
@@ -189,11 +157,8 @@ PLANS = {
     "merged_states": f"WITH {C}, parts AS (SELECT repo_id, author_id, count(*) AS n FROM c WHERE idx % 2 = 0 GROUP BY repo_id, author_id UNION ALL SELECT repo_id, author_id, count(*) AS n FROM c WHERE idx % 2 = 1 GROUP BY repo_id, author_id) SELECT repo_id, author_id, cast(sum(n) AS bigint) AS commits FROM parts GROUP BY repo_id, author_id",
     "top_files": f"WITH {FH}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY commits DESC, path) AS place FROM churned) SELECT repo_id, path, commits, cast(place AS bigint) AS place FROM r WHERE place <= 20",
     "top_couplings": f"WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY co_changes DESC, file1, file2) AS place FROM coupled) SELECT repo_id, file1, file2, co_changes, cast(place AS bigint) AS place FROM r WHERE place <= 7",
-    # chained renames (JN-13): the first name of every renamed path
-    "rename_lineage": "WITH RECURSIVE hop AS (SELECT DISTINCT repo_id, from_path, to_path FROM file_changes WHERE from_path <> to_path), chain AS (SELECT repo_id, from_path AS first_path, to_path, 1 AS depth FROM hop UNION ALL SELECT chain.repo_id, first_path, hop.to_path, depth + 1 FROM chain JOIN hop ON hop.repo_id = chain.repo_id AND hop.from_path = chain.to_path WHERE depth < 20) SELECT repo_id, first_path, to_path AS last_path, cast(max(depth) AS bigint) AS renames FROM chain GROUP BY repo_id, first_path, to_path",
-    # surviving lines by the calendar year they were written in (PL-03, SC-20)
-    "survival_by_year": f"WITH {L}, o AS (SELECT repo_id, cast(floor(min(MICROS(committer_ts)) / 864e8) AS bigint) AS day0 FROM c GROUP BY repo_id), y AS (SELECT * FROM (VALUES (2019, 17897, 18262), (2020, 18262, 18628), (2021, 18628, 18993), (2022, 18993, 19358), (2023, 19358, 19723), (2024, 19723, 20089)) AS v(year, a, b)), last AS (SELECT repo_id, max(sample) AS s FROM dense GROUP BY repo_id), "
-    "e AS (SELECT d.repo_id, lines, day0 + band * 30 AS s0, day0 + band * 30 + 30 AS s1 FROM dense d JOIN last ON last.repo_id = d.repo_id AND s = sample JOIN o ON o.repo_id = d.repo_id WHERE lines > 0) SELECT repo_id, cast(year AS bigint) AS year, round(sum(lines * (least(s1, b) - greatest(s0, a)) / 3e1), 6) AS lines FROM e JOIN y ON s0 < b AND s1 > a GROUP BY repo_id, year",
+    # chained renames (JN-13): the first name of every renamed path; a hop follows an earlier one, so chains end however long they are
+    "rename_lineage": f"WITH RECURSIVE {C}, hop AS (SELECT DISTINCT f.repo_id, from_path, to_path, c.idx FROM file_changes f JOIN c ON c.commit_id = f.commit_id WHERE from_path <> to_path), chain AS (SELECT repo_id, from_path AS first_path, to_path, 1 AS depth, idx FROM hop UNION ALL SELECT chain.repo_id, first_path, hop.to_path, depth + 1, hop.idx FROM chain JOIN hop ON hop.repo_id = chain.repo_id AND hop.from_path = chain.to_path AND hop.idx > chain.idx) SELECT repo_id, first_path, to_path AS last_path, cast(max(depth) AS bigint) AS renames FROM chain GROUP BY repo_id, first_path, to_path",
     # sentiment classes and change sizes for charts (PL-14, PL-10)
     "sentiment_classes": f"WITH {S} SELECT repo_id, {_MOOD} AS mood, count(*) AS ticks FROM st GROUP BY repo_id, {_MOOD}",
     "mailmap": f"WITH {_NAMES} SELECT name, count(*) AS ids, min(dev_id) AS first_id FROM names GROUP BY name",

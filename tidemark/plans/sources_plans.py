@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import lines, trees
 from tidemark.operators import ticks as tick_ops
+from tidemark.operators.graph import components
 from tidemark.plans.treequery import run
 from tidemark.session import settle, shared_folder
 from tidemark.sources import table
@@ -48,10 +49,28 @@ def line_stats(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_stats(hunks(spark, folder)).unionByName(alone)
 
 
+def _typos(spark: SparkSession, folder: str) -> DataFrame:
+    """(repo_id, path, commit_id, idx, wrong, correct, line): every corrected identifier."""
+    changes = _changes(spark, folder)
+    order = table(spark, folder, "commits").groupBy("commit_id").agg(F.min("idx").alias("idx"))
+    where = changes.select("change_id", "repo_id", "commit_id", F.coalesce("to_path", "from_path").alias("path")).join(order, "commit_id", "left")
+    return lines.corrected_identifiers(changes, lines.hunks(changes)).join(where, "change_id")
+
+
 def typos(spark: SparkSession, folder: str) -> DataFrame:
-    """Corrected identifiers, first occurrence kept, with how often each was corrected (AG-51 .. AG-53, WN-08, WN-11, JN-10, JN-11)."""
-    found = lines.corrected_identifiers(_changes(spark, folder), lines.hunks(_changes(spark, folder)))
-    return found.groupBy("wrong", "correct").agg(F.min("change_id").alias("first_change"), F.count("*").alias("frequency"))
+    """Corrected identifiers, first occurrence in the order of commits, with how often each was corrected (AG-51, AG-52, WN-08, WN-11, JN-10, JN-11)."""
+    return _typos(spark, folder).groupBy("wrong", "correct").agg(F.min_by("change_id", F.struct("idx", "change_id")).alias("first_change"), F.count("*").alias("frequency"))
+
+
+def file_typos(spark: SparkSession, folder: str) -> DataFrame:
+    """Corrected identifiers per file (AG-53, TK-07)."""
+    return _typos(spark, folder).groupBy("repo_id", "path").agg(F.count("*").alias("typos"))
+
+
+def typos_aggregate(spark: SparkSession, folder: str) -> DataFrame:
+    """Corrections, different ones, and the files and commits they are in, per repository (AG-53)."""
+    counts = [F.count_distinct("wrong", "correct").alias("patterns"), F.count_distinct("path").alias("files"), F.count_distinct("commit_id").alias("commits")]
+    return _typos(spark, folder).groupBy("repo_id").agg(F.count("*").alias("typos"), *counts)
 
 
 def _edits(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,9 +78,14 @@ def _edits(spark: SparkSession, folder: str) -> DataFrame:
     whole = F.when(F.col("change_kind") == "insert", F.array(F.struct(F.lit("insert").alias("op"), _lines("after_text").alias("n"))))
     runs = lines.hunks(_changes(spark, folder)).groupBy("change_id").agg(F.sort_array(F.collect_list(F.struct("seq", "op", "n"))).alias("r"))
     runs = runs.select("change_id", F.transform("r", lambda x: F.struct(x["op"].alias("op"), x["n"].alias("n"))).alias("runs"))
-    path = F.coalesce("from_path", "to_path")
     joined = _changes(spark, folder).join(commits, "commit_id").join(runs, "change_id", "left")
-    return joined.select(F.concat_ws(":", "repo_id", path).alias("lineage"), "idx", "tick", "author_id", F.col("change_kind").alias("kind"), F.coalesce(whole, "runs").alias("runs"))
+    node = lambda path: F.concat_ws(":", "repo_id", path)
+    moved = _changes(spark, folder).filter("from_path <> to_path").select(node("from_path").alias("a"), node("to_path").alias("b"))
+    # the paths that renames link are replayed together, under the smallest of them
+    ends = moved.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    linked = components(ends, moved).withColumnRenamed("id", "own")
+    known = joined.withColumn("own", node(F.coalesce("to_path", "from_path"))).join(linked, "own", "left")
+    return known.select(F.coalesce("label", "own").alias("lineage"), F.struct("idx", "change_id").alias("idx"), "tick", "author_id", F.col("change_kind").alias("kind"), "from_path", "to_path", F.coalesce(whole, "runs").alias("runs"))
 
 
 def survival_ledger(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,6 +183,13 @@ def function_coupling(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("repo_id", F.col("f1.path").alias("path1"), F.col("f1.name").alias("name1"), F.col("f2.path").alias("path2"), F.col("f2.name").alias("name2"), "co_changes", strength.alias("strength"))
 
 
+def function_aggregate(spark: SparkSession, folder: str) -> DataFrame:
+    """Functions met, how often, how many are hot, and their couplings, per repository (AG-50)."""
+    hot = function_hotness(spark, folder).groupBy("repo_id").agg(F.count("*").alias("nodes"), F.sum("changes").alias("changes"), F.round(F.avg("changes"), 6).alias("avg_changes"), F.count_if(F.col("risk") != "LOW").alias("hot_nodes"))
+    pairs = function_coupling(spark, folder).groupBy("repo_id").agg(F.count("*").alias("couplings"), F.round(F.avg("strength"), 6).alias("avg_strength"))
+    return hot.join(pairs, "repo_id", "left").fillna(0, ["couplings", "avg_strength"])
+
+
 def tree_diff(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes added, removed and modified between the two sides of a change (2.14, JN-14, JN-16, SO-05)."""
     python = _changes(spark, folder).filter("to_path like '%.py' and before_text is not null and after_text is not null")
@@ -206,7 +237,7 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     return _drained(counts.select(F.unix_seconds("start").alias("start_s"), "event_type", "n"), "complete")
 
 
-QUERIES = {f.__name__: f for f in (ticks, hunks, line_stats, typos, survival_ledger, survival_rollup, nodes, function_measures, tree_types, function_cohesion, comment_quality, function_documentation, shotness_touches, function_hotness, function_coupling, tree_diff, tree_query, stream_ticks, stream_windows)}
+QUERIES = {f.__name__: f for f in (ticks, hunks, line_stats, typos, file_typos, typos_aggregate, survival_ledger, survival_rollup, nodes, function_measures, tree_types, function_cohesion, comment_quality, function_documentation, shotness_touches, function_hotness, function_coupling, function_aggregate, tree_diff, tree_query, stream_ticks, stream_windows)}
 SQL: dict[str, str] = {
     "stream_windows": "SELECT cast(floor(epoch_us(ts) / 36e8) AS bigint) * 3600 AS start_s, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

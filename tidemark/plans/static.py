@@ -22,16 +22,21 @@ _VOLUME_HEALTH = "CASE WHEN v < 1e2 THEN 1e2 WHEN v < 1e3 THEN 7e1 + (1e3 - v) /
 _COHESION = "CASE WHEN cohesion >= 6e-1 THEN 'Excellent' WHEN cohesion >= 4e-1 THEN 'Good' WHEN cohesion >= 3e-1 THEN 'Fair' ELSE 'Poor' END"
 _DOCUMENTED = "CASE WHEN doc_coverage <= 0e0 THEN 'Undocumented' WHEN doc_coverage >= 6e-1 THEN 'Well Documented' WHEN doc_coverage >= 3e-1 THEN 'Partially Documented' ELSE 'Poorly Documented' END"
 _IMPORT_RISK = "CASE WHEN length(imp) - length(replace(imp, '/', '')) >= 5 THEN 'LOW' WHEN (length(imp) - length(replace(imp, '..', ''))) / 2 >= 3 THEN 'MEDIUM' ELSE '' END"
-#: Imported paths, one per file and import: quoted words on lines that import.
-I = """ln0 AS (SELECT change_id, repo_id, prog_lang, EXPLODE(string_split(after_text, chr(10))) AS line FROM file_changes WHERE after_text IS NOT NULL),
-ln AS (SELECT change_id, repo_id, prog_lang, trim(replace(line, chr(13), '')) AS line FROM ln0),
-im0 AS (SELECT change_id, repo_id, prog_lang, CASE
- WHEN prog_lang = 'python' AND line LIKE 'import %' THEN split_part(split_part(line, ' ', 2), ',', 1)
- WHEN prog_lang = 'python' AND line LIKE 'from % import %' THEN split_part(line, ' ', 2)
- WHEN prog_lang = 'java' AND line LIKE 'import %;' THEN replace(split_part(line, ' ', 2), ';', '')
- WHEN prog_lang = 'c' AND line LIKE '#include %' THEN replace(replace(replace(split_part(line, ' ', 2), '<', ''), '>', ''), '"', '')
- WHEN prog_lang = 'javascript' AND line LIKE '%require("%")%' THEN split_part(split_part(line, 'require("', 2), '"', 1)
- WHEN prog_lang = 'go' AND line LIKE '"%"' THEN replace(line, '"', '') END AS imp FROM ln),
+_Q = "[\"' || chr(39) || ']"
+_ALL = lambda lang, pattern, text="text": f"SELECT change_id, repo_id, prog_lang, EXPLODE(regexp_extract_all({text}, '{pattern}', 1)) AS imp FROM src WHERE prog_lang = '{lang}'"
+#: Imported paths, one per file and import: every name of a list, blocks of imports, and no lines that only look like imports.
+I = f"""src AS (SELECT change_id, repo_id, prog_lang, replace(after_text, chr(13), '') AS text FROM file_changes WHERE after_text IS NOT NULL),
+listed AS ({_ALL("python", "(?m)^[ ]*import +([A-Za-z0-9_., ]+)")}),
+named AS (SELECT change_id, repo_id, prog_lang, EXPLODE(string_split(imp, ',')) AS imp FROM listed),
+block AS ({_ALL("go", "(?m)^import *[(]([^)]*)[)]")}),
+im0 AS (SELECT change_id, repo_id, prog_lang, split_part(trim(imp), ' ', 1) AS imp FROM named
+UNION ALL {_ALL("python", "(?m)^[ ]*from +([A-Za-z0-9_.]+) +import")}
+UNION ALL {_ALL("java", "(?m)^[ ]*import +(?:static +)?([A-Za-z0-9_.*]+) *;")}
+UNION ALL {_ALL("c", '(?m)^[ ]*# *include *[<"]([^>"]+)[>"]')}
+UNION ALL {_ALL("javascript", f"require[(]{_Q}([^\"]+?){_Q}[)]")}
+UNION ALL {_ALL("javascript", f"(?m)^[ ]*import [^;]*?{_Q}([^;\"]+?){_Q}")}
+UNION ALL {_ALL("go", '(?m)^import +(?:[A-Za-z_.]+ +)?"([^"]+)"')}
+UNION ALL SELECT change_id, repo_id, prog_lang, EXPLODE(regexp_extract_all(imp, '"([^"]+)"', 1)) AS imp FROM block),
 im AS (SELECT DISTINCT change_id, repo_id, prog_lang, imp FROM im0 WHERE imp IS NOT NULL AND imp <> '')"""
 #: First segments of standard imports; fixed values.
 _STANDARD = "fmt os io net http encoding sync context time strings bytes bufio path filepath regexp sort math sys typing collections itertools functools json re fs util events stream crypto https".split()
@@ -67,7 +72,7 @@ PLANS = {
     "smooth_churn": "WITH t AS (SELECT repo_id, tick, min(net_churn) AS v FROM tick_metrics GROUP BY repo_id, tick), n AS (SELECT repo_id, tick, v, lead(tick) OVER (PARTITION BY repo_id ORDER BY tick) AS t2, lead(v) OVER (PARTITION BY repo_id ORDER BY tick) AS v2 FROM t), k AS (SELECT repo_id, tick, v, t2, v2, EXPLODE(RANGE5()) AS k FROM n) SELECT repo_id, tick, k, round(v + (v2 - v) * k / 5e0, 6) AS value FROM k WHERE t2 IS NOT NULL AND v IS NOT NULL AND v2 IS NOT NULL",
     "event_windows": "SELECT cast(floor(MICROS(ts) / 36e8) AS bigint) AS hour, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY cast(floor(MICROS(ts) / 36e8) AS bigint), event_type",
     # nearest target (JN-12): the next release note after each issue of a repository
-    "nearest_following": "WITH a AS (SELECT doc_id, repo_id, MICROS(created_at) AS us FROM documents WHERE repo_id IS NOT NULL AND created_at IS NOT NULL AND doc_kind = 'issue'), u AS (SELECT doc_id, repo_id, us, cast(NULL AS bigint) AS target FROM a UNION ALL SELECT doc_id, repo_id, MICROS(created_at), doc_id FROM documents WHERE repo_id IS NOT NULL AND created_at IS NOT NULL AND doc_kind = 'release_note'), w AS (SELECT *, min(CASE WHEN target IS NOT NULL THEN us END) OVER (PARTITION BY repo_id ORDER BY us RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_us FROM u) SELECT doc_id, repo_id, next_us - us AS gap FROM w WHERE target IS NULL",
+    "nearest_following": "WITH a AS (SELECT doc_id, repo_id, MICROS(created_at) AS us FROM documents WHERE repo_id IS NOT NULL AND created_at IS NOT NULL AND doc_kind = 'issue'), u AS (SELECT doc_id, repo_id, us, cast(NULL AS bigint) AS target FROM a UNION ALL SELECT doc_id, repo_id, MICROS(created_at), doc_id FROM documents WHERE repo_id IS NOT NULL AND created_at IS NOT NULL AND doc_kind = 'release_note'), w AS (SELECT *, min(CASE WHEN target IS NOT NULL THEN us END) OVER (PARTITION BY repo_id ORDER BY us DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS next_us FROM u) SELECT doc_id, repo_id, next_us - us AS gap FROM w WHERE target IS NULL",
     # scalar functions (SC-01, SC-13, SC-16 .. SC-18)
     "scalars": "SELECT change_id, cast(levenshtein(coalesce(from_path, ''), coalesce(to_path, '')) AS bigint) AS path_edits, TAIL(coalesce(to_path, from_path), '/') AS base, concat_ws('|', lower(change_kind), coalesce(prog_lang, 'none')) AS tag, least(greatest(coalesce(size_bytes, 0) / 4e3, 0e0), 1e0) AS filled, coalesce(size_bytes, 0) / nullif(length(after_text), 0) AS ratio FROM file_changes",
     "long_identifiers": "SELECT dev_id, lower(dev_name) || ' <' || lower(coalesce(email, '')) || '>' AS exact_key, coalesce(lower(email), lower(dev_name)) AS loose_key FROM developers",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -26,9 +28,11 @@ def build_session(master: str = "local[8]", app: str = "tidemark", **extra: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -36,13 +40,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_CLEANED: set[str] = set()
+
+
+def _clean_up(spark: SparkSession, folder: str) -> None:
+    """Delete the application's settled tables when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def drop() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            system.delete(path, True)
+
+    atexit.register(drop)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: several readers, one computation, no lineage.
 
-    A written table survives the loss of executors and keeps its statistics for the planner.
+    A written table survives the loss of executors and keeps its statistics for the planner. It is
+    deleted when the driver ends, as results that are still unread may need it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/settled/{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/settled/{spark.sparkContext.applicationId}"
+    if home not in _CLEANED:
+        _CLEANED.add(home)
+        _clean_up(spark, home)
+    path = f"{home}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
