@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import components
 from tidemark.session import settle
 
 RADIUS = 2
@@ -138,21 +139,6 @@ def near_keys(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.select(*key, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "d").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 30) -> DataFrame:
-    """(id, label): the smallest id of each node's connected component, by label spreading with jumps."""
-    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle(nodes.select("id", F.col("id").alias("label")))
-    for _ in range(most):
-        offered = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("offer"))
-        lower = labels.join(offered, "id", "left").select("id", F.least("label", F.coalesce("offer", F.col("label"))).alias("next"), "label")
-        jump = lower.select(F.col("id").alias("next"), F.col("next").alias("jumped"))
-        moved = settle(lower.join(jump, "next", "left").select("id", F.least("next", F.coalesce("jumped", F.col("next"))).alias("new"), "label"))
-        labels = moved.select("id", F.col("new").alias("label"))
-        if moved.filter("new < label").isEmpty():
-            break
-    return labels
-
-
 def link_names(records: DataFrame, nicknames: DataFrame, sure: DataFrame | None = None) -> DataFrame:
     """(id, scope, entity): records (id, scope, name, email) with the smallest id of the same entity in the scope.
 
@@ -214,7 +200,7 @@ def link_names(records: DataFrame, nicknames: DataFrame, sure: DataFrame | None
         more = sure.join(ends.select(F.col("id").alias("a"), F.col("head").alias("ha")), "a").join(ends.select(F.col("id").alias("b"), F.col("head").alias("hb")), "b")
         strong = strong.unionByName(more.select(F.col("ha").alias("a"), F.col("hb").alias("b")))
     nodes = members.select(F.col("head").alias("id")).distinct()
-    whole = components(nodes, strong)
+    whole = settle(components(nodes, strong))
     # nicknames first: what they are joined to may be the one entity that an initial leads to
     for initial in (False, True):
         la, lb = whole.select(F.col("id").alias("a"), F.col("label").alias("ca")), whole.select(F.col("id").alias("b"), F.col("label").alias("cb"))
