@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from tidemark.session import settle
 
 WORDS, EDITS, SHINGLE = 15, 3, 3
-#: Words of its own that mark a passage as no frame; a word is an item's own if at most this share of the item texts has it.
-RARE, OWN_SHARE = 2, 0.01
+#: Words of its own that mark a passage as no frame; a word is an item's own if at most so many item texts have it, however many items there are.
+RARE, OWN_TEXTS = 2, 3
 KEPT = WORDS - SHINGLE + 1 - EDITS * SHINGLE
 #: Distinct shingles of the items up to which they are sent to every executor (16 MB); beyond, both sides are shuffled.
 SENT = 1_000_000
+#: Numbers that document keys are hashed to, so that candidates can be told before the shuffle by a table of a fixed size.
+MARKS = 1 << 20
 _CUT = r"[^\p{L}\p{N}_]+"
 #: A word divided at the end of a line, with the marks that may open the next one.
 _DIVIDED = r"(\p{L})-[ \t]*\r?\n[ \t>*#/|]*(\p{L})"
@@ -125,15 +127,18 @@ def leaks(documents: DataFrame, doc_key: str, doc_text: str, items: DataFrame, i
     band = F.floor((F.col("pos") - F.col("at")) / (2 * EDITS + 2))
     banded = places.select(doc_key, item_key, "pos", "at", F.explode(F.array(band, band + 1)).alias("band"))
     dense = banded.groupBy(doc_key, item_key, "band").agg(F.count_distinct("at").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi")).filter(F.col("n") >= KEPT)
-    spans = dense.select(doc_key, item_key, "lo", "hi").distinct()
-    parts = spans.join(docs, doc_key).select(
+    spans = settle(dense.select(doc_key, item_key, "lo", "hi").distinct())
+    # only documents that may have a candidate's key are cut into words again and shuffled; the join is exact
+    mark = F.pmod(F.xxhash64(doc_key), F.lit(MARKS)).alias("mark")
+    marks = F.broadcast(spans.select(mark).distinct())
+    again = worded(documents.select(doc_key, doc_text).join(marks, mark == marks["mark"], "left_semi"), doc_key, doc_text)
+    parts = spans.join(again, doc_key).select(
         doc_key, item_key, F.expr(f"slice(words, greatest(1, lo + 1 - {WORDS + EDITS}), hi - lo + {SHINGLE + 2 * (WORDS + EDITS)})").alias("part")
     )
     # equal texts under several keys are one text: what they hold is their own all the same
     texts = settle(wanted.select("words").distinct())
     used = texts.select("words", F.explode(F.array_distinct("words")).alias("word"))
-    total = F.greatest(F.lit(3.0), F.lit(OWN_SHARE) * F.lit(texts.count()))
-    few = used.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") <= total).select("word")
+    few = used.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") <= OWN_TEXTS).select("word")
     own = used.join(few, "word").groupBy("words").agg(F.collect_list("word").alias("own"))
     rated_texts = texts.join(_lone(texts, WORDS, "window_lone"), "words").join(_lone(texts, SHINGLE, "shingle_lone"), "words").join(own, "words", "left")
     pairs = parts.join(wanted.join(settle(rated_texts), "words").withColumnRenamed("words", "item_words"), item_key)
