@@ -228,7 +228,9 @@ def test_ambiguous_initials_need_an_address(spark):
     assert _entities(spark, people) == {frozenset({3, 5})}
 
 
-def test_near_keys_match_brute_force(spark):
+@pytest.mark.parametrize("most", [1000, 50])
+def test_near_keys_match_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(names, "CELL_MOST", most)
     rng = random.Random(6)
     words = {"".join(rng.choice("abcd") for _ in range(rng.randint(5, 8))) for _ in range(700)}
     got = {(r.a, r.b) for r in names.near_keys(spark.createDataFrame([(1, "F", w) for w in words], "scope long, space string, key string")).collect()}

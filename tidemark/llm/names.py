@@ -24,6 +24,8 @@ from tidemark.session import settle
 RADIUS = 2
 #: A pivot serves about this many keys times the root of their number: cells and copies both grow slowly.
 PIVOT_STEP = 8
+#: Keys of a cell from which pairs must also share a part, so that a large cell is not met with itself whole.
+CELL_MOST = 1000
 #: Scopes in which a word must be part of a name before it counts as a name of its own, not a slip of another.
 ESTABLISHED = 3
 #: Largest table of nicknames that is sent to every executor.
@@ -131,11 +133,31 @@ def near_keys(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     home = F.min(F.struct("far", "pivot")).over(Window.partitionBy(*key, "key"))
     cells = measured.withColumn("home", home).filter(F.col("far") <= F.col("home.far") + 2 * radius)
     cells = cells.select(*key, "pivot", "key", "far", (F.col("home.pivot") == F.col("pivot")).alias("own"), F.length("key").alias("n"))
-    a = cells.filter("own").select(*key, "pivot", F.col("key").alias("x"), F.col("far").alias("xf"), F.col("n").alias("xn"))
-    b = cells.select(*key, "pivot", F.col("key").alias("y"), F.col("far").alias("yf"), F.col("n").alias("yn"))
+    cells = settle(cells)
+    sizes_of = cells.groupBy(*key, "pivot").agg(F.count("*").alias("m"))
+    big = sizes_of.filter(F.col("m") > CELL_MOST).select(*key, "pivot")
+    x = lambda c: c.filter("own").select(*key, "pivot", F.col("key").alias("x"), F.col("far").alias("xf"), F.col("n").alias("xn"))
+    y = lambda c: c.select(*key, "pivot", F.col("key").alias("y"), F.col("far").alias("yf"), F.col("n").alias("yn"))
     # lengths and the distances to the shared pivot bound the distance before it is computed
     close = (F.col("x") != F.col("y")) & (F.abs(F.col("xn") - F.col("yn")) <= radius) & (F.abs(F.col("xf") - F.col("yf")) <= radius)
-    met = a.join(b, [*key, "pivot"]).filter(close).withColumn("d", F.levenshtein("x", "y", radius)).filter("d >= 0")
+    small = cells.join(big, [*key, "pivot"], "left_anti")
+    met = x(small).join(y(small), [*key, "pivot"]).filter(close).select(*key, "x", "y")
+    # in a large cell two keys must also share one of radius + 1 parts, as edits leave one whole
+    large = cells.join(big, [*key, "pivot"], "left_semi")
+    parts = radius + 1
+    size = lambda n, i: f"({n} div {parts} + if({i} >= {parts} - {n} % {parts}, 1, 0))"
+    start = lambda n, i: f"({i} * ({n} div {parts}) + greatest(0, {i} - ({parts} - {n} % {parts})))"
+    every = f"sequence(0, {radius})"
+    own = F.expr(f"transform({every}, i -> struct(xn as ln, i as no, substring(x, {start('xn', 'i')} + 1, {size('xn', 'i')}) as part))")
+    shift = f"sequence(-{radius}, {radius})"
+    offered = F.expr(
+        f"array_distinct(flatten(flatten(transform(filter({shift}, e -> yn + e >= 1), e -> transform({every}, i -> transform("
+        f"filter({shift}, s -> {start('(yn + e)', 'i')} + s >= 0 and {start('(yn + e)', 'i')} + s + {size('(yn + e)', 'i')} <= yn), "
+        f"s -> struct(yn + e as ln, i as no, substring(y, {start('(yn + e)', 'i')} + s + 1, {size('(yn + e)', 'i')}) as part)))))))"
+    )
+    lx, ly = x(large).select("*", F.inline(own)), y(large).select("*", F.inline(offered))
+    met = met.unionByName(lx.join(ly, [*key, "pivot", "ln", "no", "part"]).filter(close).select(*key, "x", "y").distinct())
+    met = met.withColumn("d", F.levenshtein("x", "y", radius)).filter("d >= 0")
     return met.select(*key, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "d").distinct()
 
 
