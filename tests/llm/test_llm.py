@@ -157,6 +157,41 @@ def test_long_statements(lang, text):
     assert syntax.check(text.replace("1", "1 1", 1), lang)[0] > 0
 
 
+MODERN = [
+    ("java", "sealed interface S permits A, B { }\npublic sealed abstract class T permits A { }\nnon-sealed class A extends T { }\n"),
+    ("java", "class K { int f(Object o) { return switch (o) { case String s when s.isEmpty() -> 1; case R(int a, int b) -> 2; case null, default -> 3; }; } }"),
+    ("javascript", 'const a = `x ${b.map(c => `<li>${c}</li>`).join("")} y`;\nlet q = `it\'s ${ {a: 1}.a } // no`;\n'),
+    ("java", "class K { void f() { return a" + ".b(1)" * 240 + "; } }"),
+]
+
+
+@pytest.mark.parametrize(("lang", "text"), MODERN)
+def test_current_syntax_and_long_chains(lang, text):
+    import time
+
+    syntax.check("x", lang)
+    began = time.perf_counter()
+    assert syntax.check(text, lang) == (0, "")
+    assert time.perf_counter() - began < 2
+    assert syntax.check(text.rstrip()[:-2], lang)[0] > 0
+
+
+def test_edits_go_on_behind_an_error():
+    assert syntax.check("int f() { a + b = c + ; }\n", "c")[0] == 2
+    assert syntax.check("x = {a: [1, 2}, 3];\nfoo(1));\n", "javascript")[0] == 3
+    many = "x = " + " + ".join(["a b"] * 40) + ";\n"
+    assert syntax.check(many, "javascript")[0] >= 20
+    assert syntax.check("func f() { return }\n", "go")[0] > 0
+
+
+def test_kinds_of_errors():
+    good = "int f(int a) {\n  return a + 1;\n}\n"
+    assert syntax.check(good[:-3], "c")[1] == "truncated"
+    assert syntax.check("def f(a):\n    return a\n", "java")[1] == "mismatch" and syntax.check(good, "python")[1] == "mismatch"
+    assert syntax.check("<<<<<<< a\n" + good + "=======\n>>>>>>> b\n", "c")[1] == "conflict"
+    assert syntax.check("int g( { }\n" + good, "c")[1] == "broken"
+
+
 def test_chart_costs():
     g = chart.Grammar("Ab -> a b | a Ab b", lambda t, c: t == c)
     assert [g.cost("Ab", s) for s in ("ab", "aabb", "aab", "ba", "", "abab")] == [0, 0, 1, 2, 2, 2]
