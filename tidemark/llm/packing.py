@@ -1,7 +1,9 @@
 """Filling containers of a fixed number of tokens with whole documents.
 
-Pattern packing: sizes are counted per bin, patterns of few bins that fill a container are repeated
-as often as non-negative least squares on the histogram says, and what remains is packed best fit.
+Pattern packing: sizes are counted per bin, patterns of bins that fill a container are repeated as
+often as non-negative least squares on the histogram, weighted by size, says, and what remains is
+packed best fit, into the room that patterns leave first. Patterns are all of up to three bins, those of one bin many times, and those that
+greedy filling makes of the histogram itself.
 The plan is made from the histogram, which has at most `capacity` entries however many documents
 there are; documents find their slot by their number among the documents of their size.
 """
@@ -9,6 +11,7 @@ there are; documents find their slot by their number among the documents of thei
 from __future__ import annotations
 
 import base64
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,9 +43,10 @@ def token_counts(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_V
     return df.select(key, text).mapInPandas(count, df.select(key, F.lit(0).cast("long").alias("n_tokens")).schema)
 
 
-def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 that minimises |a x - b|, by the active-set method."""
+def nonnegative_least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x >= 0 that minimises |a x - b|, by the active-set method; warns if it does not get there in three rounds a column."""
     n = a.shape[1]
+    rounds = 3 * n + 10
     x, passive = np.zeros(n), np.zeros(n, bool)
     gram, right = None, a.T @ b
     for _ in range(rounds):
@@ -68,9 +72,32 @@ def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 400) -
             x[~passive] = 0
             if not passive.any():
                 break
+    else:
+        warnings.warn("least squares of container patterns ended before they converged", stacklevel=2)
     return x
 
 
+def greedy_patterns(have: np.ndarray, room: int) -> list[tuple[int, ...]]:
+    """The patterns of filling container after container with the largest bins that fit; each is repeated while it can, so they are few."""
+    left, found = have[: room + 1].astype("int64").copy(), []
+    while left[1:].any():
+        space, pattern = room, []
+        for b in np.flatnonzero(left[1:])[::-1] + 1:
+            t = int(min(left[b], space // b))
+            if t:
+                pattern.append((int(b), t))
+                space -= int(b) * t
+        again = min(int(left[b]) // t for b, t in pattern)
+        for b, t in pattern:
+            left[b] -= again * t
+        found.append(tuple(b for b, t in pattern for _ in range(t)))
+    return found
+
+
+#: Share of all tokens, in the smallest items, that is kept back from patterns.
+FILLERS = 0.1
+
+
 @dataclass
 class Plan:
     """Slots sorted by size and number: documents lo.. of `size` go to container first + (number - lo) // per."""
@@ -80,12 +107,13 @@ class Plan:
     first: np.ndarray
     per: np.ndarray
     containers: int
+    by_pattern: int
 
 
 def plan_packing(counts: dict[int, int], capacity: int, bins: int = 128) -> Plan:
     """A slot for each of counts[size] items of each size 1..capacity.
 
-    Patterns have at most three bins of capacity / bins tokens; an item's bin is its size rounded up.
+    A bin is capacity / bins tokens; an item's bin is its size rounded up.
     A pattern's slots of a bin are given to that bin's items from the largest size downwards.
     """
     left = {s: c for s, c in counts.items() if c and 0 < s <= capacity}
@@ -95,20 +123,31 @@ def plan_packing(counts: dict[int, int], capacity: int, bins: int = 128) -> Plan
     width = max(1, -(-capacity // bins))
     room = capacity // width
     by_bin: dict[int, list[int]] = {}
-    for s in sorted(left, reverse=True):
+    # the smallest items are kept back for the room that rounding to bins leaves
+    back, least = FILLERS * sum(s * c for s, c in left.items()), 0
+    for s in sorted(left):
+        back -= s * left[s]
+        if back < 0:
+            break
+        least = s
+    for s in sorted((s for s in left if s > least), reverse=True):
         by_bin.setdefault(-(-s // width), []).append(s)
+    turns: dict[int, int] = {}
     have = np.zeros(room + 2)
     for b, sizes in by_bin.items():
         have[min(b, room + 1)] = sum(left[s] for s in sizes)
     full = [(room,)] + [(room - j, j) for j in range(1, room // 2 + 1)]
     full += [(room - j - k, j, k) for k in range(1, room // 3 + 1) for j in range(k, (room - k) // 2 + 1)]
-    full = [p for p in full if all(have[b] > 0 for b in p)]
+    full += [tuple(x for x in (room - m * j, *[j] * m) if x) for j in range(1, room // 3 + 1) for m in range(3, room // j + 1)]
+    full = list(dict.fromkeys([*greedy_patterns(have, room), *(p for p in full if all(have[b] > 0 for b in p))]))
     if full:
         a = np.zeros((room + 2, len(full)))
         for i, p in enumerate(full):
             for b in p:
                 a[b, i] += 1
-        repeats = np.floor(nonnegative_least_squares(a, have)).astype("int64")
+        # a missing large item is as bad as the small ones of its size
+        weight = np.arange(room + 2) / room
+        repeats = np.floor(nonnegative_least_squares(a * weight[:, None], have * weight) + 1e-6).astype("int64")
 
         def take(b: int, n: int, first: int) -> None:
             while n:
@@ -116,6 +155,8 @@ def plan_packing(counts: dict[int, int], capacity: int, bins: int = 128) -> Plan
                 t = min(n, left[s])
                 if t:
                     slots.append((s, start[s], first, 1))
+                    turns[first] = turns.get(first, 0) + s
+                    turns[first + t] = turns.get(first + t, 0) - s
                     start[s] += t
                     left[s] -= t
                     n, first = n - t, first + t
@@ -131,8 +172,15 @@ def plan_packing(counts: dict[int, int], capacity: int, bins: int = 128) -> Plan
                     take(b, n, made)
                     stock[b] -= n
                 made += n
+    by_pattern = made
     # best fit, largest first, on runs of containers with the same free room
     spare: dict[int, list[tuple[int, int]]] = {}
+    # runs of pattern containers that are equally full
+    full_to, places = 0, sorted(turns)
+    for at, after in zip(places, [*places[1:], made]):
+        full_to += turns[at]
+        if after > at and full_to < capacity:
+            spare.setdefault(capacity - full_to, []).append((at, after - at))
     for s in sorted((s for s in left if left[s]), reverse=True):
         c = left[s]
         while c:
@@ -158,7 +206,7 @@ def plan_packing(counts: dict[int, int], capacity: int, bins: int = 128) -> Plan
                 spare.setdefault(f - per * s, []).append((first, used))
     slots.sort()
     table = np.array(slots, "int64").reshape(-1, 4)
-    return Plan(table[:, 0], table[:, 1], table[:, 2], table[:, 3], made)
+    return Plan(table[:, 0], table[:, 1], table[:, 2], table[:, 3], made, by_pattern)
 
 
 def numbered_by_size(df: DataFrame, key: str, shards: int = 64) -> DataFrame:
@@ -177,12 +225,12 @@ def numbered_by_size(df: DataFrame, key: str, shards: int = 64) -> DataFrame:
 
 
 def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
-    """(key, piece, n_tokens, container_id, container_free) for items (key, size), key unique.
+    """(key, piece, n_tokens, container_id, container_free, by_pattern) for items (key, size), key unique.
 
     Items are whole (piece 0) unless larger than the capacity: those fill containers of their own
     with pieces of full capacity, and the last piece is packed like an item. Items of size 0 or null
     take no room and stand in container 0. Every item is in the result; equal sizes are told apart by
-    key. container_free is the unused room. An empty table gives no rows.
+    key. container_free is the unused room; by_pattern says whether a pattern fills the container, or what was left over. An empty table gives no rows.
     """
     asked = F.coalesce(F.col(size), F.lit(0)).cast("long")
     pieces = F.greatest(F.lit(1).cast("long"), F.ceil(asked / capacity))
@@ -206,4 +254,4 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     out = numbered.select(key, "piece", F.col("size").alias("n_tokens"), F.lit(0).cast("long").alias("container_id")).schema
     placed = settle(numbered.mapInPandas(place, out))
     filled = placed.groupBy("container_id").agg((F.lit(capacity) - F.sum("n_tokens")).alias("container_free"))
-    return placed.join(filled, "container_id").select(key, "piece", "n_tokens", "container_id", "container_free")
+    return placed.join(filled, "container_id").select(key, "piece", "n_tokens", "container_id", "container_free", (F.col("container_id") < plan.by_pattern).alias("by_pattern"))

@@ -184,10 +184,10 @@ def p8_assignment(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_unused(spark: SparkSession, folder: str) -> DataFrame:
-    """Containers used and tokens left unused in all."""
+    """Containers used, those filled by patterns, tokens, and tokens left unused in all."""
     placed = p8_assignment(spark, folder)
-    each = placed.groupBy("container_id").agg(F.first("container_free").alias("free"), F.sum("n_tokens").alias("tokens"))
-    return each.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("free").alias("unused"))
+    each = placed.groupBy("container_id").agg(F.first("container_free").alias("free"), F.first("by_pattern").alias("by_pattern"), F.sum("n_tokens").alias("tokens"))
+    return each.agg(F.count("*").alias("containers"), F.count_if("by_pattern").alias("by_pattern"), F.sum("tokens").alias("tokens"), F.sum("free").alias("unused"))
 
 
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
