@@ -265,6 +265,16 @@ def test_amounts_equal_what_texts_say(spark):
         assert sorted(map(tuple, df.select(*theirs.columns).collect())) == sorted(theirs.fetchall()), name
 
 
+def test_change_filter(spark, tmp_path):
+    repos = [(1, ["vendor/", ""], "", None), (2, None, r"^(?!gen/).*\.go$", None), (3, [], None, None)]
+    spark.createDataFrame(repos, "repo_id long, skip_files array<string>, name_filter string, languages array<string>").write.parquet(f"{tmp_path}/repositories.parquet")
+    rows = [(1, 1, "insert", None, "vendor/a.go", 5), (2, 1, "rename", "a.go", "b.go", 5), (3, 2, "modify", "gen/a.go", "gen/a.go", 5), (4, 2, "modify", "a.go", "a.go", None), (5, 2, "delete", "a.py", None, 5), (6, 3, "insert", None, "x", 5), (7, 3, "insert", None, "y", 1 << 21), (8, None, "insert", None, "z.c", 1)]
+    spark.createDataFrame(rows, "change_id long, repo_id long, change_kind string, from_path string, to_path string, size_bytes long").write.parquet(f"{tmp_path}/file_changes.parquet")
+    got = {tuple(r) for r in registry.QUERIES["change_filter"](spark, str(tmp_path)).collect()}
+    assert got == {(2, "rename", "go"), (4, "modify", "go"), (6, "insert", "x"), (8, "insert", "c")}
+    assert {r.change_id for r in registry.QUERIES["skipped_changes"](spark, str(tmp_path)).collect()} == {1}
+
+
 def test_survival_conserves_lines(spark):
     sums = [F.sum("added"), F.sum("removed")]
     stats = registry.QUERIES["line_stats"](spark, DATA).agg(*sums).first()

@@ -143,10 +143,11 @@ PLANS = {
     # merged series and set operations (JN-01 .. JN-03, SO-01 .. SO-06, AG-11)
     "commit_series": f"WITH {CF}, {Q}, a AS (SELECT commit_id, count(*) AS n_files FROM cf GROUP BY commit_id), b AS (SELECT commit_id, round(avg(complexity), 6) AS complexity, max(max_complexity) AS max_complexity FROM q GROUP BY commit_id) SELECT c.repo_id, c.commit_id, c.tick, c.author_id, n_files, complexity, max_complexity, net_churn FROM c LEFT JOIN a ON a.commit_id = c.commit_id LEFT JOIN b ON b.commit_id = c.commit_id WHERE n_files IS NOT NULL OR complexity IS NOT NULL",
     "analysed_commits": f"WITH {C} SELECT commit_id FROM c WHERE files_changed > 0 UNION SELECT commit_id FROM file_quality UNION SELECT commit_id FROM file_changes",
-    "unanalysed_commits": f"WITH {C} SELECT commit_id FROM c EXCEPT SELECT commit_id FROM file_quality",
-    "changed_and_measured": "SELECT repo_id, file_path AS path FROM file_quality INTERSECT SELECT repo_id, coalesce(to_path, from_path) FROM file_changes",
+    "unanalysed_commits": f"WITH {C} SELECT commit_id FROM c EXCEPT SELECT commit_id FROM file_changes",
+    "changed_and_measured": "SELECT repo_id, prog_lang FROM file_quality INTERSECT SELECT repo_id, prog_lang FROM file_changes",
+    # an author and a tick in one number: 14 bits of tick, the author above them (SC-17)
+    "packed_people": f"WITH {C}, p AS (SELECT commit_id, author_id * 16384 + tick % 16384 AS packed FROM c) SELECT commit_id, packed, cast(floor(packed / 16384e0) AS bigint) AS author_id, packed % 16384 AS tick FROM p",
     # change filters (FLT-01 .. FLT-11, SC-04, SC-10, SC-18, PRJ-08)
-    "change_filter": "SELECT change_id, CASE WHEN from_path <> to_path THEN 'rename' ELSE change_kind END AS action, TAIL(coalesce(to_path, from_path), '.') AS extension FROM file_changes WHERE NOT (coalesce(to_path, from_path) LIKE 'vendor/%' OR coalesce(to_path, from_path) LIKE 'vendors/%') AND RE(coalesce(to_path, from_path), '^(src|pkg|lib|internal)/') AND coalesce(size_bytes, 0) <= 1048576",
     "text_lines": "SELECT change_id, cast(length(after_text) - length(replace(after_text, chr(10), '')) + CASE WHEN after_text = '' OR after_text LIKE '%' || chr(10) THEN 0 ELSE 1 END AS bigint) AS lines, length(replace(after_text, chr(10), '')) > 0 AS has_text FROM file_changes WHERE after_text IS NOT NULL AND change_kind IN ('insert', 'modify')",
     "change_languages": "SELECT repo_id, coalesce(prog_lang, 'Other') AS lang, change_kind, count(*) AS changes FROM file_changes GROUP BY repo_id, coalesce(prog_lang, 'Other'), change_kind",
     # functions that change together (AG-46 .. AG-50, JN-08): a function changes when its file does

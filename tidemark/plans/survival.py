@@ -141,6 +141,28 @@ def extension_languages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "file_changes").select("change_id", language(path).alias("lang"))
 
 
+def _skipped(path: Column) -> Column:
+    """Whether a path starts with one of `skip_files`; empty prefixes and no list skip nothing."""
+    return F.coalesce(F.exists("skip_files", lambda p: (p != "") & path.startswith(p)), F.lit(False))
+
+
+def skipped_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes under a prefix that their repository skips (FLT-01)."""
+    settings = table(spark, folder, "repositories").select("repo_id", "skip_files")
+    path = F.coalesce("to_path", "from_path")
+    return table(spark, folder, "file_changes").join(settings, "repo_id").filter(_skipped(path)).select("change_id")
+
+
+def change_filter(spark: SparkSession, folder: str, largest: int = 1 << 20) -> DataFrame:
+    """Changes that the path settings of their repository leave: no skipped prefix, the keep-pattern if there is one, up to `largest` bytes (FLT-01, FLT-02, FLT-04, FLT-06, SRC-18)."""
+    settings = table(spark, folder, "repositories").select("repo_id", "skip_files", "name_filter")
+    changes = table(spark, folder, "file_changes").select("change_id", "repo_id", "change_kind", "from_path", "to_path", "size_bytes").join(settings, "repo_id", "left")
+    path = F.coalesce("to_path", "from_path")
+    kept = F.when(F.coalesce("name_filter", F.lit("")) == "", True).otherwise(F.coalesce(F.expr("coalesce(to_path, from_path) rlike name_filter"), F.lit(False)))
+    action = F.when(F.col("from_path") != F.col("to_path"), "rename").otherwise(F.col("change_kind"))
+    return changes.filter(~_skipped(path) & kept & (F.coalesce("size_bytes", F.lit(0)) <= largest)).select("change_id", action.alias("action"), F.substring_index(path, ".", -1).alias("extension"))
+
+
 def language_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Changes whose language is among those their repository asks for; `all`, an empty or no list ask for every one (FLT-03)."""
     asked = table(spark, folder, "repositories").select("repo_id", F.transform("languages", lambda x: F.lower(F.trim(x))).alias("asked"))
@@ -150,7 +172,7 @@ def language_filter(spark: SparkSession, folder: str) -> DataFrame:
     return changes.filter(every | F.array_contains("asked", "all") | F.array_contains("asked", F.col("lang"))).select("change_id", "lang")
 
 
-QUERIES = {**{name: _rollup(name) for name in ROLLUPS}, **{name: _amount(name) for name in AMOUNTS}, **{f.__name__: f for f in (survival_current, extension_languages, language_filter)}}
+QUERIES = {**{name: _rollup(name) for name in ROLLUPS}, **{name: _amount(name) for name in AMOUNTS}, **{f.__name__: f for f in (survival_current, extension_languages, skipped_changes, change_filter, language_filter)}}
 _N = "CASE WHEN {0} IS NULL OR {0} = '' THEN 0 ELSE len(string_split({0}, chr(10))) - CASE WHEN right({0}, 1) = chr(10) THEN 1 ELSE 0 END END"
 _KNOWN = f"n AS (SELECT f.change_id, f.repo_id, f.commit_id, f.change_kind, coalesce(f.to_path, f.from_path) AS path, CASE WHEN f.change_kind <> 'insert' AND f.change_kind <> 'delete' AND (f.before_text IS NULL OR f.after_text IS NULL) THEN 0 ELSE {_N.format('f.after_text')} - {_N.format('f.before_text')} END AS net, {_N.format('f.after_text')} AS standing FROM file_changes f WHERE f.commit_id IN (SELECT commit_id FROM commits))"
 _LANG = "CASE lower(list_last(string_split(list_last(string_split(path, '/')), '.'))) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EXTENSIONS.items()) + " ELSE 'other' END"
@@ -164,6 +186,7 @@ SQL: dict[str, str] = {
     "p AS (SELECT repo_id, path, arg_min(change_kind, idx * 1000000000 + change_id) AS first, arg_max(CASE WHEN change_kind = 'delete' THEN 0 ELSE standing END, idx * 1000000000 + change_id) AS lines FROM o GROUP BY 1, 2) "
     "SELECT repo_id, path, lines FROM p WHERE first = 'insert' AND NOT EXISTS (SELECT 1 FROM moved m WHERE m.repo_id = p.repo_id AND m.path = p.path)",
     "extension_languages": f"SELECT change_id, CASE WHEN {_DOT} THEN {_LANG} ELSE 'other' END AS lang FROM (SELECT change_id, coalesce(to_path, from_path) AS path FROM file_changes)",
+    "skipped_changes": "SELECT change_id FROM (SELECT change_id, repo_id, coalesce(to_path, from_path) AS path FROM file_changes) f JOIN repositories r USING (repo_id) WHERE EXISTS (SELECT 1 FROM unnest(skip_files) AS u(w) WHERE w <> '' AND starts_with(path, w))",
     "language_filter": f"SELECT change_id, lang FROM (SELECT change_id, f.repo_id, CASE WHEN {_DOT} THEN {_LANG} ELSE 'other' END AS lang FROM (SELECT change_id, repo_id, coalesce(to_path, from_path) AS path FROM file_changes) f) x LEFT JOIN repositories r ON r.repo_id = x.repo_id "
     "WHERE coalesce(len(languages), 0) = 0 OR EXISTS (SELECT 1 FROM unnest(languages) AS u(w) WHERE lower(trim(w)) IN ('all', lang))",
 }
