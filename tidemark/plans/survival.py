@@ -147,10 +147,10 @@ def _skipped(path: Column) -> Column:
 
 
 def skipped_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """Changes under a prefix that their repository skips (FLT-01)."""
+    """Per repository its changes, and those under a prefix that it skips (FLT-01)."""
     settings = table(spark, folder, "repositories").select("repo_id", "skip_files")
-    path = F.coalesce("to_path", "from_path")
-    return table(spark, folder, "file_changes").join(settings, "repo_id").filter(_skipped(path)).select("change_id")
+    changes = table(spark, folder, "file_changes").join(settings, "repo_id", "left")
+    return changes.groupBy("repo_id").agg(F.count("*").alias("changes"), F.count_if(_skipped(F.coalesce("to_path", "from_path"))).alias("skipped"))
 
 
 def change_filter(spark: SparkSession, folder: str, largest: int = 1 << 20) -> DataFrame:
@@ -186,7 +186,7 @@ SQL: dict[str, str] = {
     "p AS (SELECT repo_id, path, arg_min(change_kind, idx * 1000000000 + change_id) AS first, arg_max(CASE WHEN change_kind = 'delete' THEN 0 ELSE standing END, idx * 1000000000 + change_id) AS lines FROM o GROUP BY 1, 2) "
     "SELECT repo_id, path, lines FROM p WHERE first = 'insert' AND NOT EXISTS (SELECT 1 FROM moved m WHERE m.repo_id = p.repo_id AND m.path = p.path)",
     "extension_languages": f"SELECT change_id, CASE WHEN {_DOT} THEN {_LANG} ELSE 'other' END AS lang FROM (SELECT change_id, coalesce(to_path, from_path) AS path FROM file_changes)",
-    "skipped_changes": "SELECT change_id FROM (SELECT change_id, repo_id, coalesce(to_path, from_path) AS path FROM file_changes) f JOIN repositories r USING (repo_id) WHERE EXISTS (SELECT 1 FROM unnest(skip_files) AS u(w) WHERE w <> '' AND starts_with(path, w))",
+    "skipped_changes": "SELECT f.repo_id, count(*) AS changes, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM unnest(skip_files) AS u(w) WHERE w <> '' AND starts_with(path, w))) AS skipped FROM (SELECT repo_id, coalesce(to_path, from_path) AS path FROM file_changes) f LEFT JOIN repositories r ON r.repo_id = f.repo_id GROUP BY f.repo_id",
     "language_filter": f"SELECT change_id, lang FROM (SELECT change_id, f.repo_id, CASE WHEN {_DOT} THEN {_LANG} ELSE 'other' END AS lang FROM (SELECT change_id, repo_id, coalesce(to_path, from_path) AS path FROM file_changes) f) x LEFT JOIN repositories r ON r.repo_id = x.repo_id "
     "WHERE coalesce(len(languages), 0) = 0 OR EXISTS (SELECT 1 FROM unnest(languages) AS u(w) WHERE lower(trim(w)) IN ('all', lang))",
 }
