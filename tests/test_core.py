@@ -265,6 +265,19 @@ def test_amounts_equal_what_texts_say(spark):
         assert sorted(map(tuple, df.select(*theirs.columns).collect())) == sorted(theirs.fetchall()), name
 
 
+def test_measures_of_functions_and_files(spark):
+    src = "def a(x):\n    y = x + 1\n    return y\n\n\ndef b(x):\n    if x and x > 1:\n        for i in x:\n            b(i)\n    return x\n\n\nclass K:\n    def a(self):\n        return 1\n"
+    df = spark.createDataFrame([(1, src), (2, "def broken("), (3, None)], "k long, t string")
+    got = sorted((r.name, r.line, r.cognitive) for r in trees.function_cognitive(df, "k", "t").collect())
+    assert got == [("a", 1, 0), ("a", 14, 0), ("b", 6, 5)]
+    nodes = trees.parse_nodes(df, "k", "t").cache()
+    whole = trees.file_halstead(nodes, "k").collect()
+    assert [r.k for r in whole] == [1] and whole[0].n1 <= whole[0].t1 and whole[0].n2 < whole[0].t2 and whole[0].volume > 0
+    pairs = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (1, "b", "x"), (1, "c", None), (2, "d", "z"), (2, "d", "z")], "k long, fn string, variable string")
+    each = {(r.k, r.fn): (r.variables, r.cohesion) for r in trees.cohesion_each(pairs, "k").collect()}
+    assert each == {(1, "a"): (2, 0.5), (1, "b"): (1, 1.0), (1, "c"): (0, 1.0), (2, "d"): (1, 0.0)}
+
+
 def test_change_filter(spark, tmp_path):
     repos = [(1, ["vendor/", ""], "", None), (2, None, r"^(?!gen/).*\.go$", None), (3, [], None, None)]
     spark.createDataFrame(repos, "repo_id long, skip_files array<string>, name_filter string, languages array<string>").write.parquet(f"{tmp_path}/repositories.parquet")

@@ -104,6 +104,27 @@ def inside(nodes: DataFrame, outer: DataFrame, key: str) -> DataFrame:
     return nodes.join(o, key).filter("pre > o_pre and post < o_post")
 
 
+def _symbols(below: DataFrame, key: str) -> DataFrame:
+    """(key, o_node_id, op, operand): operators and operands of rows of `inside`, each for its innermost function."""
+    innermost = Window.partitionBy(key, "node_id").orderBy(F.desc("o_pre"))
+    own = below.withColumn("r", F.row_number().over(innermost)).filter("r = 1")
+    return own.select(key, "o_node_id", F.when(F.array_contains("roles", "Operator"), F.col("props")["operator"]).when(F.col("type").isin("If", "Loop", "Return", "Assignment", "Call"), F.col("type")).alias("op"), F.when(F.col("type").isin("Identifier", "Literal", "Parameter"), F.col("token")).alias("operand"))
+
+
+def _halstead_columns(rows: DataFrame) -> DataFrame:
+    """rows (n1, n2, t1, t2: distinct and total operators and operands) with volume, difficulty, effort and bugs."""
+    volume = F.when(F.col("n1") + F.col("n2") > 0, (F.col("t1") + F.col("t2")) * F.log2((F.col("n1") + F.col("n2")).cast("double"))).otherwise(0.0)
+    difficulty = F.when(F.col("n2") > 0, F.col("n1") / 2 * F.col("t2") / F.col("n2")).otherwise(0.0)
+    full = rows.withColumn("volume", volume).withColumn("difficulty", difficulty)
+    return full.withColumn("effort", F.col("volume") * F.col("difficulty")).withColumn("bugs", F.col("volume") / 3000)
+
+
+def file_halstead(nodes: DataFrame, key: str) -> DataFrame:
+    """Halstead measures per file: totals over its functions, distinct symbols of all of them together."""
+    symbols = _symbols(inside(nodes, functions_of(nodes, key), key), key)
+    return _halstead_columns(symbols.groupBy(key).agg(F.count_distinct("op").alias("n1"), F.count_distinct("operand").alias("n2"), F.count("op").alias("t1"), F.count("operand").alias("t2")))
+
+
 def function_measures(nodes: DataFrame, key: str) -> DataFrame:
     """Per function: cyclomatic complexity, nesting depth, lines, parameters, returns and Halstead measures.
 
@@ -119,16 +140,12 @@ def function_measures(nodes: DataFrame, key: str) -> DataFrame:
     outer = levels.select(key, "o_node_id", F.col("node_id").alias("m"), F.col("pre").alias("p2"), F.col("post").alias("q2"))
     nested = levels.join(outer, [key, "o_node_id"]).filter("p2 <= pre and q2 >= post").groupBy(key, "o_node_id", "node_id").agg(F.count("*").alias("lv"))
     deepest = nested.groupBy(key, "o_node_id").agg(F.max("lv").alias("nesting_depth"))
-    innermost = Window.partitionBy(key, "node_id").orderBy(F.desc("o_pre"))
-    own = below.withColumn("r", F.row_number().over(innermost)).filter("r = 1")
-    symbols = own.select(key, "o_node_id", F.when(F.array_contains("roles", "Operator"), F.col("props")["operator"]).when(F.col("type").isin("If", "Loop", "Return", "Assignment", "Call"), F.col("type")).alias("op"), F.when(F.col("type").isin("Identifier", "Literal", "Parameter"), F.col("token")).alias("operand"))
+    symbols = _symbols(below, key)
     h = symbols.groupBy(key, "o_node_id").agg(F.count_distinct("op").alias("n1"), F.count_distinct("operand").alias("n2"), F.count("op").alias("t1"), F.count("operand").alias("t2"))
     base = fns.select(key, "node_id", F.coalesce(F.col("props")["name"], F.col("token")).alias("name"), (F.col("end_line") - F.col("start_line") + 1).alias("lines_of_code"))
     joined = base.join(counts.withColumnRenamed("o_node_id", "node_id"), [key, "node_id"], "left").join(deepest.withColumnRenamed("o_node_id", "node_id"), [key, "node_id"], "left").join(h.withColumnRenamed("o_node_id", "node_id"), [key, "node_id"], "left")
-    volume = F.when(F.col("n1") + F.col("n2") > 0, (F.col("t1") + F.col("t2")) * F.log2((F.col("n1") + F.col("n2")).cast("double"))).otherwise(0.0)
-    difficulty = F.when(F.col("n2") > 0, F.col("n1") / 2 * F.col("t2") / F.col("n2")).otherwise(0.0)
-    full = joined.na.fill(0).withColumn("volume", volume).withColumn("difficulty", difficulty)
-    return full.select(key, "node_id", "name", (F.col("d") + 1).alias("cyclomatic"), "nesting_depth", "lines_of_code", "parameters", "returns", "volume", "difficulty", (F.col("volume") * F.col("difficulty")).alias("effort"), (F.col("volume") / 3000).alias("bugs"))
+    full = _halstead_columns(joined.na.fill(0))
+    return full.select(key, "node_id", "name", (F.col("d") + 1).alias("cyclomatic"), "nesting_depth", "lines_of_code", "parameters", "returns", "volume", "difficulty", "effort", "bugs")
 
 
 def halstead(n1: int, n2: int, big1: int, big2: int) -> dict[str, float]:
@@ -140,8 +157,13 @@ def halstead(n1: int, n2: int, big1: int, big2: int) -> dict[str, float]:
 
 
 def cognitive(text: str) -> dict[str, int]:
-    """Cognitive complexity per function of a Python source: structures weigh one more per level of nesting."""
-    out: dict[str, int] = {}
+    """Cognitive complexity per function of a Python source; of functions of one name the last counts."""
+    return {name: value for name, _, value in cognitive_rows(text)}
+
+
+def cognitive_rows(text: str) -> list[tuple[str, int, int]]:
+    """(name, line, cognitive complexity) of the functions of a Python source: structures weigh one more per level of nesting."""
+    out: list[tuple[str, int, int]] = []
 
     def walk(node: ast.AST, depth: int, name: str) -> int:
         total = 0
@@ -150,7 +172,7 @@ def cognitive(text: str) -> dict[str, int]:
                 if not isinstance(child, ast.AST):
                     continue
                 if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                    out[child.name] = walk(child, 0, child.name)
+                    out.append((child.name, child.lineno, walk(child, 0, child.name)))
                     total += walk(child, depth + 1, name)
                 elif isinstance(child, ast.If) and isinstance(node, ast.If) and field == "orelse" and len(node.orelse) == 1:
                     total += 1 + walk_if(child, depth, name)
@@ -175,6 +197,36 @@ def cognitive(text: str) -> dict[str, int]:
     return out
 
 
+def function_cognitive(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name, line, cognitive) of the functions of Python texts; null texts and texts that do not parse have none."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch[key], batch[text]):
+                try:
+                    rows += [(k, *r) for r in cognitive_rows(t or "")]
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    continue
+            yield pd.DataFrame(rows, columns=[key, "name", "line", "cognitive"])
+
+    return files.select(key, text).mapInPandas(measure, f"{key} {files.schema[key].dataType.simpleString()}, name string, line long, cognitive long")
+
+
+def cohesion_each(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, fn, variables, cohesion) of (key, fn, variable), variable null for a function without any.
+
+    The share of a function's variables that functions of other names use too; 1 without variables,
+    0 in a file without other functions.
+    """
+    used = pairs.distinct()
+    holders = used.filter("variable is not null").groupBy(key, "variable").agg(F.count("*").alias("holders"))
+    functions = used.groupBy(key).agg(F.count_distinct("fn").alias("functions"))
+    each = used.join(holders, [key, "variable"], "left").groupBy(key, "fn").agg(F.count("variable").alias("variables"), F.count_if(F.col("holders") > 1).alias("shared")).join(functions, key)
+    share = F.when(F.col("variables") == 0, 1.0).when(F.col("functions") <= 1, 0.0).otherwise(F.col("shared") / F.col("variables"))
+    return each.select(key, "fn", "variables", share.alias("cohesion"))
+
+
 def cohesion(pairs: DataFrame, key: str) -> DataFrame:
     """(key, lcom, cohesion) of (key, fn, variable): 1 - uses / (functions x variables), 0 for one function or none."""
     d = pairs.distinct()

@@ -121,6 +121,34 @@ def function_cohesion(spark: SparkSession, folder: str) -> DataFrame:
     return trees.cohesion(pairs, "change_id")
 
 
+def function_cognitive(spark: SparkSession, folder: str) -> DataFrame:
+    """Cognitive complexity of every function (ST-03)."""
+    python = _changes(spark, folder).filter("to_path like '%.py' and after_text is not null")
+    return trees.function_cognitive(python, "change_id", "after_text")
+
+
+def file_halstead(spark: SparkSession, folder: str) -> DataFrame:
+    """Halstead measures per file (ST-12)."""
+    return trees.file_halstead(settle(_nodes(spark, folder)), "change_id")
+
+
+def cohesion_each(spark: SparkSession, folder: str) -> DataFrame:
+    """Cohesion of every function with the others of its file (ST-16)."""
+    all_nodes = settle(_nodes(spark, folder))
+    fns = trees.functions_of(all_nodes, "change_id")
+    used = trees.inside(all_nodes, fns, "change_id").filter(F.array_contains("roles", "Variable"))
+    pairs = fns.select("change_id", F.col("token").alias("fn")).distinct().join(used.select("change_id", F.col("o_token").alias("fn"), F.col("token").alias("variable")).distinct(), ["change_id", "fn"], "left")
+    return trees.cohesion_each(pairs, "change_id")
+
+
+def file_shards(spark: SparkSession, folder: str, shards: int = 16) -> DataFrame:
+    """Each changed path with its shard: the 32-bit FNV-1a hash of its bytes, modulo the number of shards (SC-16)."""
+    byte = "cast(conv(hex(substr(encode(path, 'UTF-8'), i, 1)), 16, 10) as bigint)"
+    fold = f"aggregate(sequence(1, octet_length(path)), 2166136261L, (h, i) -> ((h ^ {byte}) * 16777619L) % 4294967296L)"
+    paths = _changes(spark, folder).select(F.coalesce("to_path", "from_path").alias("path")).filter("path <> ''").distinct()
+    return paths.select("path", (F.expr(fold) % shards).alias("shard"))
+
+
 def comment_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Comment blocks with their target and score (ST-18, ST-19, JN-12)."""
     return trees.comment_placement(settle(_nodes(spark, folder)), "change_id")
@@ -237,7 +265,8 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     return _drained(counts.select(F.unix_seconds("start").alias("start_s"), "event_type", "n"), "complete")
 
 
-QUERIES = {f.__name__: f for f in (ticks, hunks, line_stats, typos, file_typos, typos_aggregate, survival_ledger, survival_rollup, nodes, function_measures, tree_types, function_cohesion, comment_quality, function_documentation, shotness_touches, function_hotness, function_coupling, function_aggregate, tree_diff, tree_query, stream_ticks, stream_windows)}
+QUERIES = {f.__name__: f for f in (ticks, hunks, line_stats, typos, file_typos, typos_aggregate, survival_ledger, survival_rollup, nodes, function_measures, tree_types, function_cohesion, function_cognitive, file_halstead, cohesion_each, file_shards, comment_quality, function_documentation, shotness_touches, function_hotness, function_coupling, function_aggregate, tree_diff, tree_query, stream_ticks, stream_windows)}
 SQL: dict[str, str] = {
+    "file_shards": "SELECT path, list_reduce(list_prepend(2166136261::BIGINT, [ascii(c)::BIGINT FOR c IN string_split(path, '')]), lambda h, c: (xor(h, c) * 16777619) % 4294967296) % 16 AS shard FROM (SELECT DISTINCT coalesce(to_path, from_path) AS path FROM file_changes) WHERE path <> ''",
     "stream_windows": "SELECT cast(floor(epoch_us(ts) / 36e8) AS bigint) * 3600 AS start_s, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
