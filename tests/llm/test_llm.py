@@ -162,6 +162,10 @@ MODERN = [
     ("java", "class K { int f(Object o) { return switch (o) { case String s when s.isEmpty() -> 1; case R(int a, int b) -> 2; case null, default -> 3; }; } }"),
     ("javascript", 'const a = `x ${b.map(c => `<li>${c}</li>`).join("")} y`;\nlet q = `it\'s ${ {a: 1}.a } // no`;\n'),
     ("java", "class K { void f() { return a" + ".b(1)" * 240 + "; } }"),
+    ("java", "class K { int f() { " + "if (a > 1) { b(); } else " * 200 + "{ c(); } } }"),
+    ("go", "package a\n\nfunc f() {\n\t" + "if x := g(); x > 1 {\n\t\tb()\n\t} else " * 200 + "{\n\t\tc()\n\t}\n}\n"),
+    ("javascript", "x = {y: " + "a === 1 ? b : " * 200 + "c}\n"),
+    ("c", "int f() { " + "if (a) b(); else " * 200 + ' c(); }\nchar *s = ' + '"x" ' * 200 + ";\n"),
 ]
 
 
@@ -192,6 +196,20 @@ def test_kinds_of_errors():
     assert syntax.check("int g( { }\n" + good, "c")[1] == "broken"
 
 
+def test_neighbours_never_reject_what_a_chart_takes():
+    rng = random.Random(4)
+    for lang, symbol, letters in (("c", "Stmt", "i-n;=IEt*"), ("java", "Stmt", "i-n;=.IEtR"), ("go", "Stmt", "i-n=l,aRp"), ("javascript", "Stmt", "i-n;=.VTR")):
+        g = chart.Grammar(syntax.GRAMMARS[lang], syntax._accepts)
+        for _ in range(150):
+            text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 5)))
+            assert (g.cost(symbol, text) == 0) == g.derives(symbol, text)
+            if not g._may(g.names[symbol], text):
+                kept, g._may = g._may, lambda *_: True
+                g.known.clear()
+                assert not g.derives(symbol, text)
+                g._may = kept
+
+
 def test_chart_costs():
     g = chart.Grammar("Ab -> a b | a Ab b", lambda t, c: t == c)
     assert [g.cost("Ab", s) for s in ("ab", "aabb", "aab", "ba", "", "abab")] == [0, 0, 1, 2, 2, 2]
