@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.cooccurrence import cooccurrence
-from tidemark.llm.encoding import count_sentences, garbled, garbled_keys, learn_readings
+from tidemark.llm.encoding import count_sentences, forms, garbled, garbled_keys, learn_readings
 from tidemark.llm.handwritten import evidence, not_handwritten
 from tidemark.llm.leakage import leaks
 from tidemark.llm.names import link_names, pairs_of
@@ -217,7 +217,7 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_readings(spark: SparkSession, folder: str) -> DataFrame:
     """Which encodings were read as which, by the number of sentences that have a clean twin."""
-    return learn_readings(count_sentences(table(spark, folder, "documents"), "text"))
+    return learn_readings(settle(count_sentences(forms(table(spark, folder, "documents"), "doc_id", "text"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
