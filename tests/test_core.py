@@ -151,7 +151,7 @@ def test_tree_queries(spark):
     assert sorted(count('rmap(.props.operator)')) == ["&&"]
     assert count('rfilter(.missing == "x") |> reduce(count)') == []
     assert count('rfilter(.id >= 10 && .id < 12) |> reduce(count)') == ["2"]
-    assert str(treequery.parse('map(.children) |> filter(.type == "A")')) == "pipeline(map(field(children)), filter(compare(==, field(type), literal(A))))"
+    assert str(treequery.parse('rfilter(.end_line > 7) |> rmap(.token)')) == "pipeline(rfilter(compare(>, field(end_line), literal(7))), rmap(field(token)))"
     for wrong in ("filter(", "map()", ".a |>", 'filter(.a == )', "reduce(sum)(", "§"):
         with pytest.raises(ValueError):
             treequery.parse(wrong)
@@ -168,7 +168,7 @@ def test_selection_and_options():
         analyzers.select(["none"], ["a"])
     with pytest.raises(ValueError):
         analyzers.Options(anomaly_window=1)
-    assert analyzers.kebab("FileHistoryAnalysis") == "file-history-analysis"
+    assert analyzers.kebab("SlowChurnByRepository") == "slow-churn-by-repository"
 
 
 def test_trailing_z(spark):
