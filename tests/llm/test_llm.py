@@ -461,6 +461,25 @@ def test_garbled_character_references(spark):
 
 
 # -- all -------------------------------------------------------------------
+def test_every_twin_of_a_crowded_key_is_met(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("абвгдежзийклмнопрстуфхцчшщыэюя") for _ in range(n))
+    # a hundred texts share a key, and all but the twins are more usual
+    clean = [f"{word(5)} {word(7)}" for _ in range(20)]
+    rows = [(c, 2) for c in clean] + [(f"{word(5)} {word(7)}", 50) for _ in range(90)]
+    rows += [(c.encode("koi8_r").decode("cp1251"), 1) for c in clean] + [(c.encode("utf-8").decode("cp1252", "ignore"), 1) for c in clean[:5]]
+    rows = [*dict(rows).items()]
+    counted = spark.createDataFrame(rows, "sentence string, n long")
+    got = [(r.sentence, r.clean, r.sure) for r in encoding.twins(counted).collect()]
+    asked = {s: encoding._keys(s)[0] for s, _ in rows}
+    offered = {s: set(encoding._keys(s)[1]) for s, _ in rows}
+    want = {(g, c, m > n) for g, n in rows for c, m in rows if g != c and m >= n and asked[g] in offered[c] and len(g) == len(c) and encoding.explains(g, c)}
+    assert len(want) >= 20 and want <= set(got) and len(got) == len(set(got))
+    learned = {(r.written, r["read"]): r.twins for r in encoding.learn_readings(counted).collect()}
+    assert learned["koi8_r", "cp1251"] >= 20
+    assert encoding.twins(counted.limit(0)).count() == 0
+
+
 def test_registered_queries_run(spark):
     from tidemark.llm import queries
 

@@ -36,7 +36,7 @@ USUAL = ("utf_8", "cp1252", "latin_1", "cp1251", "cp1250", "iso8859_2", "koi8_r"
 PAIRS = 1 << 18
 #: Twin sentences that a reading must explain, or different characters beyond ASCII in one of them; fewer if characters of several bytes fit.
 TWINS, LETTERS, LETTERS_BYTES = 2, 5, 4
-#: Usual texts of one key that are tried as clean twins.
+#: Texts of one key up to which each is tried with each; of more, those that have the same bytes in some encoding are.
 TWIN_SLOTS = 8
 #: Gain in mean log frequency of a pair, and in all, that undoing a single-byte reading must bring.
 GAIN, GAIN_ALL = 1.2, 8.0
@@ -254,23 +254,76 @@ def _spot(text: str) -> int:
     return crc32(text.encode("utf-8", "replace")) & 63
 
 
+@lru_cache(None)
+def _changed(codec: str) -> frozenset[str]:
+    """The ASCII characters that an encoding does not keep."""
+    return frozenset(ch for ch in map(chr, range(128)) if ch.encode("ascii") != _strict(ch, codec))
+
+
+def _strict(text: str, codec: str) -> bytes | None:
+    try:
+        return text.encode(codec)
+    except UnicodeError:
+        return None
+
+
+def all_bytes(text: str) -> tuple[set[bytes], set[bytes]]:
+    """What text is in the encodings as written, and as read by mistake: as a whole, and with ASCII kept between its runs.
+
+    Where `explains` finds a reading, bytes that the clean text is written as are among those that the garbled one was read from.
+    """
+    written: set[bytes | None] = set()
+    read: set[bytes | None] = set()
+    used = frozenset(text)
+    for codec in codecs():
+        whole = _strict(text, codec)
+        written.add(whole)
+        read.add(_encode(text, codec) if whole is None else whole)
+        if used & _changed(codec):
+            for out, encode in ((written, _strict), (read, _encode)):
+                runs = [encode(run, codec) for run in _RUN.findall(text)]
+                if None not in runs:
+                    bare = [x.encode("ascii") for x in _RUN.split(text)]
+                    out.add(b"".join(x for pair in zip(bare, [*runs, b""]) for x in pair))
+    return written - {None}, read - {None}
+
+
 def twins(counted: DataFrame) -> DataFrame:
-    """(sentence, clean, sure): sentences with the most usual one of the same key; sure if that one is the more usual."""
+    """(sentence, clean, sure): sentences with those of the same key that are as usual or more and may explain them; sure if more usual.
+
+    In keys of few texts each is tried with each. In others, which may hold any number, texts are
+    joined by the bytes they are in the encodings, so every pair that a reading explains is met, and
+    a text of bytes meets no more others than there are encodings.
+    """
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for s, n in zip(batch["sentence"], batch["n"]):
-                own, offered = _keys(s)
-                rows.append((own, s, n, True))
-                rows.extend((k, s, n, False) for k in offered)
-            yield pd.DataFrame(rows, columns=["key", "sentence", "n", "asks"])
-
-    keys = counted.mapInPandas(keyed, "key string, sentence string, n long, asks boolean").withColumn("key", F.xxhash64("key"))
-    # of the texts that share a key the most usual ones stand for what is written right: TWIN_SLOTS rows a key at most
-    slot = F.pmod(F.xxhash64("sentence"), F.lit(TWIN_SLOTS))
-    best = keys.filter("not asks").groupBy("key", slot.alias("slot")).agg(F.max_by("sentence", F.struct("n", "sentence")).alias("clean"), F.max("n").alias("clean_n")).drop("slot")
-    return keys.filter("asks").join(best, "key").filter("sentence <> clean and clean_n >= n").select("sentence", "clean", F.expr("clean_n > n").alias("sure"))
+            rows = [(s, n, *_keys(s)) for s, n in zip(batch["sentence"], batch["n"])]
+            yield pd.DataFrame(rows, columns=["sentence", "n", "own", "offered"])
+
+    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            both = [all_bytes(s) for s in batch["sentence"]]
+            yield batch.assign(written=[list(w) for w, _ in both], read=[list(r) for _, r in both])
+
+    keys = counted.mapInPandas(keyed, "sentence string, n long, own string, offered array<string>")
+    keys = settle(keys.select("sentence", "n", F.xxhash64("own").alias("key"), F.transform("offered", lambda k: F.xxhash64(k)).alias("offered")))
+    asks = keys.select("key", "sentence", "n")
+    offers = keys.select(F.explode("offered").alias("key"), F.col("sentence").alias("clean"), F.col("n").alias("clean_n"))
+    sizes = settle(offers.groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1"))
+    few, many = sizes.filter(F.col("texts") <= TWIN_SLOTS).select("key"), sizes.filter(F.col("texts") > TWIN_SLOTS).select("key")
+    near = asks.join(few, "key").join(offers, "key").drop("key")
+    # a text is spelled once for all its keys
+    every = asks.withColumn("asks", F.lit(True)).unionByName(offers.select("key", F.col("clean").alias("sentence"), F.col("clean_n").alias("n"), F.lit(False).alias("asks")))
+    each = every.join(many, "key").groupBy("sentence", "n").agg(F.collect_list(F.struct("asks", "key")).alias("keys"))
+    spelt = each.repartition(_tasks(counted)).mapInPandas(spelled, "sentence string, n long, keys array<struct<asks: boolean, key: long>>, written array<binary>, read array<binary>")
+    spelt = settle(spelt.select("sentence", "n", F.explode("keys").alias("k"), "written", "read"))
+    spelt = spelt.select("sentence", "n", "k.asks", F.col("k.key").alias("key"), F.explode(F.when(F.col("k.asks"), F.col("read")).otherwise(F.col("written"))).alias("raw"))
+    spelt = spelt.select("sentence", "n", "asks", F.xxhash64("key", "raw").alias("h"))
+    clean = spelt.filter("not asks").select("h", F.col("sentence").alias("clean"), F.col("n").alias("clean_n"))
+    far = spelt.filter("asks").join(clean, "h").drop("h", "asks").distinct()
+    met = near.unionByName(far).filter("sentence <> clean and clean_n >= n")
+    return met.select("sentence", "clean", F.expr("clean_n > n").alias("sure"))
 
 
 def learn_readings(counted: DataFrame) -> DataFrame:
