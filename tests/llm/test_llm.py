@@ -196,6 +196,36 @@ def test_kinds_of_errors():
     assert syntax.check("int g( { }\n" + good, "c")[1] == "broken"
 
 
+def test_edits_have_places():
+    g = chart.Grammar("Ab -> a b | a Ab b", lambda t, c: t == c)
+    assert [g.repair("Ab", t) for t in ("aabb", "abb", "aa", "ba", "aabbb")] == [[], [2], [1], [0, 2], [4]]
+    rng = random.Random(9)
+    for lang in ("c", "java", "javascript", "go"):
+        g = chart.Grammar(syntax.GRAMMARS[lang], syntax._accepts)
+        for _ in range(25):
+            text = "".join(rng.choice("iiin-=;,.*IRtsU:L") for _ in range(rng.randint(1, 10)))
+            places = g.repair("Stmt", text)
+            assert len(places) == g.cost("Stmt", text) and all(0 <= k <= len(text) for k in places)
+            assert not places == g.derives("Stmt", text)
+    text = "int f() { a = 1; b = c + ; return b; }\n"
+    assert [text[p - 2 : p + 1] for p in syntax._edits(text, "c")[0]] in (["+ ;"], [" + "], ["c +"])
+
+
+def test_long_parts_have_least_edits():
+    # every item but the last lacks an operator for its middle name
+    assert syntax.check("int f() { " + "a b c, " * 20 + "d; }\n", "c")[0] == 20
+
+
+def test_kinds_by_places():
+    page = "<!DOCTYPE html>\n<html><head><title>9 wrong worker</title></head>\n<body>\n<h1>Sorry</h1><p>The ledger you asked for isn't here.</p>\n</body></html>\n"
+    assert {syntax.check(page, lang)[1] for lang in ("c", "java", "javascript")} == {"broken"}
+    # marks in a comment are not what is wrong
+    assert syntax.check("/*\n=======\n*/\nint g( { }\nint f(int a) { return a; }\n", "c")[1] == "broken"
+    assert syntax.check("int f(int a) {\n<<<<<<< a\n  return a;\n=======\n  return 1;\n>>>>>>> b\n}\n", "c")[1] == "conflict"
+    for cut in ("int f(int a) { for (a = 0; a <", "int f(int a) { return a +", "int f(int a) { if (a) {"):
+        assert syntax.check(cut, "c")[1] == "truncated"
+
+
 def test_neighbours_never_reject_what_a_chart_takes():
     rng = random.Random(4)
     for lang, symbol, letters in (("c", "Stmt", "i-n;=IEt*"), ("java", "Stmt", "i-n;=.IEtR"), ("go", "Stmt", "i-n=l,aRp"), ("javascript", "Stmt", "i-n;=.VTR")):
